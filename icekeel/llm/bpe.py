@@ -205,20 +205,22 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = last
 
 
-def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
     """(doc_id, ids: array<int>) of every row of docs, as the tokenizers library encodes its whole text.
 
     path names the tokenizer's file on every executor; blanks tells whether its words start with
     the blank before them (byte-level BPE) or white space is dropped. Special tokens in a text are
     found as by the library; none are added. Null and empty texts give an empty array. Rows are
     independent: repeated rows repeat their result, null ids stay null. Other columns are ignored.
+    then, a function of Arrow batches as for mapInArrow, is applied where the ids come into being; schema is its result's.
     """
+    placed = (lambda batches: then(_placed(batches))) if then else _placed
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(narrow.mapInArrow(_numbered(blanks, buckets), TABLE))
     words = rows.filter("kind = 0").repartition(buckets, "seq").sortWithinPartitions("seq", "unit").mapInArrow(_encoded(path), TABLE)
-    return rows.filter("kind = 1").unionAll(words).repartition(buckets, "unit").sortWithinPartitions("unit", "kind", "seq").mapInArrow(_placed, "doc_id long, ids array<int>")
+    return rows.filter("kind = 1").unionAll(words).repartition(buckets, "unit").sortWithinPartitions("unit", "kind", "seq").mapInArrow(placed, schema)
 
 
 @lru_cache(4)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from icekeel.llm import bpe, decontamination, fingerprints, html_text, license_scan, quality, secret_scan, sharding
+from icekeel.llm import bpe, decontamination, fingerprints, html_text, license_scan, quality, secret_scan, sharding, token_files
 from icekeel.llm._common import table
 from icekeel.llm.jaccard_join import jaccard_components
 
@@ -49,6 +49,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.summary(token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
