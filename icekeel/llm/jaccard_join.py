@@ -7,8 +7,10 @@ bits, so with P = D + 1 + s parts at least s + 1 parts are equal; if one of the
 at most s parts empty, an equal part that isn't empty is certain. The rare sets with more empty
 parts also emit their empty parts, each paired with every part of a second, independent sketch.
 P depends on the size band; a set also joins the bands that its possible partners are in.
-Sets that share a part are verified on their whole sets. Nothing is capped: buckets are compared
-star-wise with 1, 8, 64, ... pivots until no pair of different components in any bucket is left.
+Sets that share a part are verified on their whole sets: first every member of a bucket against the
+bucket's smallest id. Where a bucket then still holds several components, its members are compared
+by their differences from that pivot, in a prefix join that meets all remaining pairs which
+may reach the threshold, but not all pairs of the bucket. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from icekeel.llm._common import U64, chunks, hash_words, materialize, mix64, shingle_hashes, small_side
@@ -147,6 +149,43 @@ def _verify(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInArrow(_verified(pct), "a long, b long")
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens, sizes = [], []
+        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            tokens.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            sizes.append(len(y))
+        columns = [batch.column("pivot"), batch.column("rep"), batch.column("component"), pa.array(sizes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["pivot", "rep", "component", "size", "tokens"])
+
+
+def _by_differences(clusters: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Pairs (a, b) of different components in one pivot's cluster that may reach the threshold.
+
+    The symmetric difference of two members is that of their differences from the pivot. If two
+    differences have x and y elements and the sets may differ in D, they share (x + y - D) / 2 elements
+    at least, and so one among the first (x - y + D) / 2 + 1 and (y - x + D) / 2 + 1 in any common
+    order. Here rare elements come first: those that one member alone has are never joined. Members
+    that need share nothing are both linked to the pivot, hence in one component.
+    """
+    x, y = sets.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("rep"), F.col("elements").alias("y"))
+    diffs = clusters.join(x, "pivot").join(y, "rep").mapInArrow(_differences, "pivot long, rep long, component long, size long, tokens array<long>")
+    diffs = materialize(diffs.filter(F.size("tokens") > 0).withColumn("far", F.size("tokens")))
+    each = diffs.select("pivot", "rep", F.explode("tokens").alias("token"))
+    common = each.groupBy("pivot", "token").agg(F.count("*").alias("n")).filter("n > 1")
+    # Elements of one member alone fill the first places, then the common ones by rarity.
+    nth = each.join(common, ["pivot", "token"]).groupBy("pivot", "rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    ranked = nth.join(diffs.drop("tokens"), ["pivot", "rep"]).select("pivot", "rep", "component", "size", "far", (F.col("far") - F.size("shared")).alias("alone"), F.posexplode("shared").alias("k", "s"))
+    most = F.expr(f"(size + size * 100 div {pct}) * {100 - pct} div {100 + pct}")
+    ranked = materialize(ranked.withColumn("nth", F.col("alone") + F.col("k")).filter(F.col("nth") <= most).select("pivot", F.col("s.token").alias("token"), "rep", "component", "size", "far", "nth"))
+    a, b = (ranked.select("pivot", "token", *(F.col(c).alias(f"{c}_{t}") for c in ("rep", "component", "size", "far", "nth"))) for t in "ab")
+    slack = F.expr(f"(size_a + size_b) * {100 - pct} div {100 + pct}")
+    near = (2 * F.col("nth_a") <= F.col("far_a") - F.col("far_b") + slack) & (2 * F.col("nth_b") <= F.col("far_b") - F.col("far_a") + slack)
+    met = (a.pivot == b.pivot) & (a.token == b.token) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & near
+    return a.join(b, met).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, n_links.
 
@@ -184,31 +223,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
         s, t = sizes.select(F.col("rep").alias("a"), F.col("size").alias("sa")), sizes.select(F.col("rep").alias("b"), F.col("size").alias("sb"))
         return pairs.join(s, "a").join(t, "b").filter(f"100 * least(sa, sb) >= {pct} * greatest(sa, sb)").select("a", "b")
 
-    links = materialize(_verify(fitting(in_pairs), sets, pct))
-    tried, pivots = None, 1
-    while True:
-        # Every row of a large bucket against the bucket's first pivots of other components.
-        if tried is None:
-            first = rows.groupBy("key").agg(F.min("rep").alias("a")).select("key", "a")
-        else:
-            labels = connected_components(links)
-            named_rows = rows.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-            mixed = named_rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter(f"lo < hi and m > {pivots + 1}").select("key")
-            rows = materialize(named_rows.join(mixed, "key", "left_semi"))
-            if not rows.take(1):
-                break
-            pivots *= 8
-            order = Window.partitionBy("key").orderBy("rep")
-            first = rows.withColumn("k", F.row_number().over(order)).filter(f"k <= {pivots}").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-        pairs = rows.join(first, "key").filter("a < rep")
-        if tried is not None:
-            pairs = pairs.filter("ca <> component")
-        pairs = pairs.select("a", F.col("rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        tried = pairs if tried is None else materialize(tried.union(pairs))
-        links = materialize(links.union(_verify(fitting(pairs), sets, pct)).distinct())
+    # Star round: every member of a large bucket against the bucket's smallest id.
+    pivots = rows.groupBy("key").agg(F.min("rep").alias("a"))
+    star = rows.join(pivots, "key").filter("a < rep").select("a", F.col("rep").alias("b"))
+    links = materialize(_verify(fitting(in_pairs.union(star).distinct()), sets, pct))
+    labels = connected_components(links)
+
+    # Buckets that still hold several components: their members, by the bucket's pivot.
+    placed = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("rep").alias("pivot"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("key", "pivot")
+    clusters = materialize(placed.join(mixed, "key").select("pivot", "rep", "component").distinct())
+    if clusters.take(1):
+        more = materialize(_verify(_by_differences(clusters, sets, pct).join(links, ["a", "b"], "left_anti"), sets, pct))
+        links = materialize(links.union(more))
+        labels = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     linked = materialize(labels.select(F.col("id").alias("rep"), "component").join(degree, "rep", "left"))
 
