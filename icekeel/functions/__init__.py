@@ -1 +1 @@
-"""Functions of the engine."""
+"""Scalar functions: paths and URIs, space-filling order, back-off."""

@@ -1 +1 @@
-"""Plans of the engine."""
+"""Plans that change tables: policies, commits, jobs, recovery, cycles."""

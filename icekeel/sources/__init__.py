@@ -1 +1 @@
-"""Sources of the engine."""
+"""Sources and sinks: Avro container files, stores, catalogs, Parquet."""

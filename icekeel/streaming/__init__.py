@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Maintenance driven by Structured Streaming."""
