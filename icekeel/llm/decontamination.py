@@ -23,8 +23,6 @@ from icekeel.llm._common import U64, chunks, hash_words, materialize, mix64, sma
 MASKS = ("1101100101", "1010011011", "111001011")
 #: Words of a run that counts, or the whole item where that is shorter; and the least share of them that agree.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
-#: What a differing word costs when the best run is looked for; an agreeing word earns 1.
-PENALTY = 2.0
 #: Words of an item up to which it can't hold a window: it is then one seed as a whole.
 SPAN = max(map(len, MASKS))
 #: Seeds of the benchmark up to which they go to every task (8 bytes each, and 16 for item and place).
@@ -56,11 +54,12 @@ def seeds(hashes: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
 
 
 def best_run(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, length, agreeing) of the run with the largest score; same: which words agree."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -PENALTY))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    start = int(np.flatnonzero(total[: end + 1] == low[end])[-1]) if end else 0
+    """(start, length, agreeing) of the longest run of which LEAST_SHARE agrees; same: which words agree."""
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0 - LEAST_SHARE, -LEAST_SHARE))])
+    # The first place from which the sum up to each end isn't negative, among falling minima.
+    first = np.searchsorted(-np.minimum.accumulate(total), -total - 1e-9)
+    end = int(np.argmax(np.arange(len(total)) - first))
+    start = int(first[end])
     return start, end - start, int(same[start:end].sum())
 
 
@@ -69,7 +68,7 @@ def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, in
     a, b = max(0, shift), min(len(doc), shift + len(item))
     same = doc[a:b] == item[a - shift : b - shift]
     start, n, agree = best_run(same)
-    if n >= min(LEAST_WORDS, len(item)) and agree >= LEAST_SHARE * n:
+    if n >= min(LEAST_WORDS, len(item)):
         return a + start, n, agree
     return None
 
