@@ -68,7 +68,7 @@ def _node(tag: str, attributes: str, parent: Node | None) -> Node:
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
     main = tag in ("article", "main") or given.get("role") == "main" or given.get("itemprop", "").lower() == "articlebody"
     noise = hidden or tag in NOISE_TAGS or given.get("role") in NOISE_ROLES or bool(names & NOISE_WORDS) or (tag == "header" and not _inside(parent))
-    return Node(tag, f"{parent.path}>{label}" if parent else label, parent, noise, main, label != tag)
+    return Node(tag, f"{parent.path}>{label}" if parent and parent.path else label, parent, noise, main, label != tag)
 
 
 def _inside(node: Node | None) -> bool:
