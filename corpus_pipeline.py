@@ -32,7 +32,7 @@ def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids of the text, and the text that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path)
+    return bpe.encode(docs, path, then=bpe.with_text(path), schema="doc_id long, ids array<int>, text string")
 
 
 STAGES = [("quality", good), ("near_duplicates", single), ("decontamination", clean), ("secrets", safe), ("bpe", encoded)]

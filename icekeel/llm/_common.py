@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -73,6 +74,14 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def trim() -> None:
+    """Gives free memory of a Python worker back to the system, where the C library can: workers live on."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The finalizer of SplitMix64 over an array of unsigned 64-bit integers."""
     with np.errstate(over="ignore"):

@@ -10,6 +10,7 @@ makes up a third of all text costs one row in each unit.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -23,18 +24,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from icekeel.llm._common import materialize, texts
+from icekeel.llm._common import texts, trim
 
 #: Bytes of text in a unit, of word numbers in a row, and ids in a batch that goes back to Spark.
-UNIT_BYTES, ROW_WORDS, BATCH_IDS = 48 << 20, 1 << 18, 1 << 20
+UNIT_BYTES, ROW_WORDS, BATCH_IDS = 16 << 20, 1 << 18, 1 << 18
 #: All that some library takes for white space or might drop; cuts are only made away from these.
 OTHERS = r"\x00-\x09\x0b-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 SPACES = f" \n{OTHERS}"
 OTHER = re.compile(f"[{OTHERS}]")
 #: Before a blank or a line end between two characters that are surely none, and after such a line end.
 CUT = re.compile(f"(?<=[^{SPACES}])(?=[ \n][^{SPACES}])|(?<=[^{SPACES}]\n)(?=[^{SPACES}])")
-TABLE = "unit long, kind int, seq long, ids array<long>, counts array<int>, blob binary, size long"
+TABLE = "dest long, unit long, kind int, seq long, ids array<long>, counts array<int>, blob binary, size long"
 
 
 @lru_cache(4)
@@ -103,18 +105,18 @@ def _from_planes(raw: bytes) -> np.ndarray:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["unit", "kind", "seq", "ids", "counts", "blob", "size"])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["dest", "unit", "kind", "seq", "ids", "counts", "blob", "size"])
 
 
 def _numbered(blanks: bool, buckets: int):
-    """docs -> rows of kind 1 (documents as word numbers) and kind 0 (a unit's words of one bucket, seq)."""
+    """docs -> rows of kind 1 (documents as word numbers, for dest unit) and kind 0 (a unit's words of one bucket, for dest bucket)."""
 
     def flush(unit: int, s: Splitter, docs: list[tuple[int | None, list[int]]]) -> Iterator[pa.RecordBatch]:
         if not docs:
             return
         sizes = np.array([len(d) for _, d in docs], np.int64)
-        flat = np.fromiter((i for _, d in docs for i in d), np.uint32, int(sizes.sum()))
+        flat = np.concatenate([d for _, d in docs])
         bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in s.words), np.int64, len(s.words))
         # A word's final number: its place after sorting by frequency, so that numbers are small.
         order = np.argsort(-np.bincount(flat, minlength=len(s.words)), kind="stable")
@@ -126,14 +128,14 @@ def _numbered(blanks: bool, buckets: int):
             end, n = start, 0
             while end < len(docs) and (end == start or n + sizes[end] <= ROW_WORDS):
                 n, end = n + int(sizes[end]), end + 1
-            yield _batch([(unit, 1, seq, [d for d, _ in docs[start:end]], sizes[start:end].tolist(), *_pack(_planes(flat[at : at + n])))])
+            yield _batch([(unit, unit, 1, seq, [d for d, _ in docs[start:end]], sizes[start:end].tolist(), *_pack(_planes(flat[at : at + n])))])
             at, start, seq = at + n, end, seq + 1
         by = order[np.argsort(bucket[order], kind="stable")]
         edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
         for b in range(buckets):
             if len(own := by[edges[b] : edges[b + 1]]):
                 raw = [s.words[i].encode() for i in own]
-                yield _batch([(unit, 0, b, None, None, *_pack([np.array([len(own)], "<u4").tobytes(), *_planes(rank[own]), *_planes(np.array([len(w) for w in raw])), *raw]))])
+                yield _batch([(b, unit, 0, b, None, None, *_pack([np.array([len(own)], "<u4").tobytes(), *_planes(rank[own]), *_planes(np.array([len(w) for w in raw])), *raw]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, total, s, docs = TaskContext.get().partitionId() << 24, 0, Splitter(blanks), []
@@ -145,6 +147,8 @@ def _numbered(blanks: bool, buckets: int):
                     yield from flush(unit, s, docs)
                     unit, total, s, docs = unit + 1, 0, Splitter(blanks), []
         yield from flush(unit, s, docs)
+        s = docs = None
+        trim()
 
     return run
 
@@ -168,33 +172,28 @@ def _encoded(path: str):
                         known[w] = np.array(e.ids, np.uint32)
                 ids = [known[w] for w in words]
                 flat = np.concatenate(ids)
-                yield _batch([(r["unit"], 0, r["seq"], None, None, *_pack([np.array([n], "<u4").tobytes(), numbers, *_planes(np.array([len(x) for x in ids])), *_planes(flat)]))])
+                yield _batch([(r["unit"], r["unit"], 0, r["seq"], None, None, *_pack([np.array([n], "<u4").tobytes(), numbers, *_planes(np.array([len(x) for x in ids])), *_planes(flat)]))])
 
     return run
 
 
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit, kind and seq -> (doc_id, ids): a unit's words first, then its documents."""
-    numbers, sizes, ids, unit, starts = [], [], [], None, None
-    rows = (r for batch in batches for r in batch.to_pylist())
-    for r in rows:
-        if r["unit"] != unit:
-            numbers, sizes, ids, unit, starts = [], [], [], r["unit"], None
+def _placed(docs: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One unit's documents and its words' ids -> (doc_id, ids)."""
+    numbers, sizes, ids = [], [], []
+    for r in words.select(["blob", "size"]).to_pylist():
         raw = _unpack(r["blob"], r["size"])
-        if r["kind"] == 0:
-            n = int(np.frombuffer(raw, "<u4", 1)[0])
-            numbers.append(_from_planes(raw[4 : 4 + 4 * n]))
-            sizes.append(_from_planes(raw[4 + 4 * n : 4 + 8 * n]))
-            ids.append(_from_planes(raw[4 + 8 * n :]))
-            continue
-        if starts is None:
-            number, size = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (numbers, sizes))
-            table = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
-            starts, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-            starts[number], length[number] = np.cumsum(size.astype(np.int64)) - size, size
-        words = _from_planes(raw)
-        ends = np.cumsum(length[words])
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[words] - ends + length[words], length[words])
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        numbers.append(_from_planes(raw[4 : 4 + 4 * n]))
+        sizes.append(_from_planes(raw[4 + 4 * n : 4 + 8 * n]))
+        ids.append(_from_planes(raw[4 + 8 * n :]))
+    number, size = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (numbers, sizes))
+    table = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+    starts, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    starts[number], length[number] = np.cumsum(size.astype(np.int64)) - size, size
+    for r in docs.sort_by("seq").select(["ids", "counts", "blob", "size"]).to_pylist():
+        numbered = _from_planes(_unpack(r["blob"], r["size"]))
+        ends = np.cumsum(length[numbered])
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[numbered] - ends + length[numbered], length[numbered])
         flat, edges = table[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(r["counts"])])]
         first = 0
         while first < len(r["ids"]):
@@ -214,13 +213,21 @@ def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_i
     independent: repeated rows repeat their result, null ids stay null. Other columns are ignored.
     then, a function of Arrow batches as for mapInArrow, is applied where the ids come into being; schema is its result's.
     """
-    placed = (lambda batches: then(_placed(batches))) if then else _placed
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(narrow.mapInArrow(_numbered(blanks, buckets), TABLE))
-    words = rows.filter("kind = 0").repartition(buckets, "seq").sortWithinPartitions("seq", "unit").mapInArrow(_encoded(path), TABLE)
-    return rows.filter("kind = 1").unionAll(words).repartition(buckets, "unit").sortWithinPartitions("unit", "kind", "seq").mapInArrow(placed, schema)
+    # One shuffle serves both readers, which differ only above it: a filter with rand() stays there.
+    rows = narrow.mapInArrow(_numbered(blanks, buckets), TABLE).repartition(buckets, "dest")
+    kind = F.col("kind") + F.rand(1)
+    words = rows.filter(kind < 1).sortWithinPartitions("seq", "unit").mapInArrow(_encoded(path), TABLE)
+    empty = spark.createDataFrame([], schema).schema
+
+    def unit(docs: pa.Table, words: pa.Table) -> pa.Table:
+        out = list(then(_placed(docs, words)) if then else _placed(docs, words))
+        trim()
+        return pa.Table.from_batches(out) if out else to_arrow_schema(empty).empty_table()
+
+    return rows.filter(kind >= 1).groupBy("dest").cogroup(words.groupBy("dest")).applyInArrow(unit, schema)
 
 
 @lru_cache(4)
@@ -234,6 +241,18 @@ def pieces(path: str) -> list[bytes]:
     return [bytes(char[c] for c in p) if all(c in char for c in p) else p.encode() for p in (table.get(i, "") for i in range(max(table) + 1))]
 
 
+def _rows(lists: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists as Python's, by way of one array."""
+    flat, edges, valid = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+    for k, v in enumerate(valid):
+        yield flat[edges[k] : edges[k + 1]].tolist() if v else None
+
+
+def _text(ids: list[int] | None, of: dict[int, bytes]) -> str | None:
+    """The text that the pieces of ids make."""
+    return ids if ids is None else b"".join([of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with a column text: the pieces of ids, joined, as UTF-8 with invalid bytes replaced.
 
@@ -246,15 +265,39 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = dict(enumerate(pieces(path)))
         for batch in batches:
-            out = [x if x is None else b"".join([of.get(i, b"") for i in x]).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            out = [_text(ids, of) for ids in _rows(batch.column("ids"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*columns).schema)
     return encoded.select(*columns).mapInArrow(run, f"{schema}, text string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of rows with ids and their decoded text."""
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
-    )
+def with_text(path: str):
+    """For encode(then=...): decodes where the ids come into being. The schema is doc_id long, ids array<int>, text string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = dict(enumerate(pieces(path)))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array([_text(ids, of) for ids in _rows(batch.column("ids"))], pa.string())], ["doc_id", "ids", "text"])
+
+    return run
+
+
+#: The schema of digests().
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def digests(path: str):
+    """For encode(then=...): the number of ids, and digests of the decimal ids joined by commas and of the text that they decode to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, names = dict(enumerate(pieces(path))), [x.split()[0] for x in DIGESTS.split(", ")]
+        decimal = [str(i) for i in range(max(of) + 1)]
+        for batch in batches:
+            counts, by_ids, by_text = [], [], []
+            for ids in _rows(batch.column("ids")):
+                counts.append(len(ids))
+                by_ids.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
+                by_text.append(hashlib.sha256(_text(ids, of).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_text, pa.string())], names)
+
+    return run

@@ -38,7 +38,9 @@ def test_round_trip_and_digests(spark):
     texts = [None, *odd_texts(60)]
     docs = spark.createDataFrame([Row(doc_id=i, text=t, unit=1, ids="x") for i, t in enumerate([*texts, *texts[:3]])], "doc_id long, text string, unit int, ids string").repartition(3)
     encoded = bpe.encode(docs, BYTE)
-    got = {r.doc_id: r for r in bpe.digests(bpe.decode(encoded, BYTE)).collect()}
+    decoded = {r.doc_id: r.text for r in bpe.decode(encoded, BYTE).collect()}
+    assert decoded == {i: t or "" for i, t in enumerate([*texts, *texts[:3]])}
+    got = {r.doc_id: r for r in bpe.encode(docs, BYTE, then=bpe.digests(BYTE), schema=bpe.DIGESTS).collect()}
     assert len(got) == len(texts) + 3
     for i, (text, ids) in enumerate(zip(texts, library(BYTE, texts), strict=True)):
         assert got[i].n_tokens == len(ids)
