@@ -25,7 +25,7 @@ from icekeel.llm.bpe import encode
 
 MAGIC = b"IKT1"
 #: Ids of a block at most (a longer document is a block of its own), and lanes.
-BLOCK_IDS, LANES = 1 << 20, 2048
+BLOCK_IDS, LANES = 1 << 21, 4096
 #: Bits of the scales of the mixed weights and of order 0, and of the table of order 2.
 MIX, ZERO, SLOTS = 16, 20, 18
 TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
@@ -40,21 +40,23 @@ class _Model:
 
     def __init__(self, ids: int, lanes: int):
         self.n = ids
-        self.one, self.firm1 = np.full(ids + 1, -1, np.int32), np.zeros(ids + 1, np.int8)
-        self.two, self.firm2 = np.full(1 << SLOTS, -1, np.int32), np.zeros(1 << SLOTS, np.int8)
+        # A prediction and how firm it is, 0 to 3, in one number: id * 4 + firmness.
+        self.one, self.two = np.full(ids + 1, -4, np.int32), np.full(1 << SLOTS, -4, np.int32)
+        self.edges = np.zeros((32, 4), np.int64)
+        self.edges[:, 3] = 1 << MIX
         self.held = np.tile(np.array([2, 1, 3], np.int64), (32, 1))
         self.counts, self.step = np.zeros(ids, np.int64), 0
-        self.last = self.before = np.full(lanes, ids, np.int64)
+        self.last, self.mixed = np.full(lanes, ids, np.int64), np.zeros(lanes, U64)
 
     def look(self) -> None:
         """The predictions of this step, and the edges of the mixed ranges."""
-        self.slot = ((self.last.astype(U64) * U64(0x9E3779B97F4A7C15) + self.before.astype(U64) * U64(0xC2B2AE3D27D4EB4F)) * U64(0xD6E8FEB86659FD93) >> U64(64 - SLOTS)).astype(np.int64)
-        self.c2, self.k2, self.c1, self.k1 = self.two[self.slot], self.firm2[self.slot], self.one[self.last], self.firm1[self.last]
-        self.state = self.k2.astype(np.int64) * 8 + self.k1 * 2 + (self.c1 == self.c2)
-        share = self.held * ((1 << MIX) - 3) // self.held.sum(axis=1, keepdims=True) + 1
-        edges = np.zeros((32, 4), np.int64)
-        edges[:, 1:3], edges[:, 3] = np.cumsum(share[:, :2], axis=1), 1 << MIX
-        self.edges = edges
+        now = self.last.view(U64) * U64(0x9E3779B97F4A7C15)
+        self.slot = ((now ^ self.mixed) * U64(0xD6E8FEB86659FD93) >> U64(64 - SLOTS)).view(np.int64)
+        self.mixed = now >> U64(17)
+        v2, v1 = self.two[self.slot], self.one[self.last]
+        self.c2, self.k2, self.c1, self.k1 = v2 >> 2, v2 & 3, v1 >> 2, v1 & 3
+        self.state = (self.k2 * 8 + self.k1 * 2 + (self.c1 == self.c2)).astype(np.int64)
+        self.edges[:, 1:3] = np.cumsum(self.held[:, :2] * ((1 << MIX) - 3) // self.held.sum(axis=1, keepdims=True) + 1, axis=1)
         s = self.step
         if s < 16 or s % 16 == 0:
             seen = np.concatenate([[0], np.cumsum(self.counts)])
@@ -64,12 +66,12 @@ class _Model:
 
     def learn(self, x: np.ndarray, event: np.ndarray) -> None:
         self.held += np.bincount(self.state * 3 + event, minlength=96).reshape(32, 3)
-        for table, firm, at, guess, k in ((self.two, self.firm2, self.slot, self.c2, self.k2), (self.one, self.firm1, self.last, self.c1, self.k1)):
+        for table, at, guess, k in ((self.two, self.slot, self.c2, self.k2), (self.one, self.last, self.c1, self.k1)):
             right = guess == x
-            table[at] = np.where(right | (k > 0), guess, x)
-            firm[at] = np.where(right, np.minimum(k + 1, 3), np.maximum(k - 1, 0))
+            old = guess * 4 + np.where(right, np.minimum(k + 1, 3), k - 1)
+            table[at] = np.where(right | (k > 0), old, x * 4)
         np.add.at(self.counts, x, 1)
-        self.before, self.last, self.step = self.last, x, self.step + 1
+        self.last, self.step = x, self.step + 1
 
 
 def _lanes(n: int) -> int:
@@ -90,8 +92,7 @@ def pack(ids: np.ndarray) -> bytes:
     everyone = np.arange(lanes)
 
     def put(who: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        whole = len(who) == lanes
-        l, w = (low, width) if whole else (low[who], width[who])
+        l, w = (low, width) if len(who) == lanes else (low[who], width[who])
         r = w >> U64(bits)
         l, w = l + r * start.astype(U64), r * size.astype(U64)
         while True:
@@ -100,7 +101,8 @@ def pack(ids: np.ndarray) -> bytes:
             k = np.flatnonzero(act)
             if not len(k):
                 break
-            w = np.where(narrow & ~settled, (~l + U64(1)) & (BOTTOM - U64(1)), w)
+            if narrow.any():
+                w = np.where(narrow & ~settled, (~l + U64(1)) & (BOTTOM - U64(1)), w)
             lane = who[k]
             out[lane, at[lane]] = (l[k] >> U64(48)).astype(np.uint16)
             at[lane] += 1
@@ -112,8 +114,9 @@ def pack(ids: np.ndarray) -> bytes:
             x = np.ascontiguousarray(grid[:, t])
             model.look()
             event = np.where(x == model.c2, 0, np.where(x == model.c1, 1, 2))
-            a = model.edges[model.state, event]
-            put(everyone, a, model.edges[model.state, event + 1] - a, MIX)
+            edges, cell = model.edges.ravel(), model.state * 4 + event
+            a = edges[cell]
+            put(everyone, a, edges[cell + 1] - a, MIX)
             rest = np.flatnonzero(event == 2)
             if len(rest):
                 y = x[rest]
@@ -152,7 +155,8 @@ def unpack(block: bytes) -> np.ndarray:
             k = np.flatnonzero(settled | narrow)
             if not len(k):
                 break
-            w = np.where(narrow & ~settled, (~l + U64(1)) & (BOTTOM - U64(1)), w)
+            if narrow.any():
+                w = np.where(narrow & ~settled, (~l + U64(1)) & (BOTTOM - U64(1)), w)
             lane = who[k]
             c[k] = (c[k] << U64(16)) | words[np.minimum(at[lane], last)]
             at[lane] += 1
@@ -166,12 +170,12 @@ def unpack(block: bytes) -> np.ndarray:
             at += 1
         for t in range(steps):
             model.look()
-            e = model.edges[model.state]
+            edges, cell = model.edges.ravel(), model.state * 4
 
-            def event_of(v: np.ndarray, e: np.ndarray = e) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                k = (v >= e[:, 1]).astype(np.int64) + (v >= e[:, 2])
-                a = e[everyone, k]
-                return k, a, e[everyone, k + 1] - a
+            def event_of(v: np.ndarray, e: np.ndarray = edges, c: np.ndarray = cell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                k = (v >= e[c + 1]).astype(np.int64) + (v >= e[c + 2])
+                a = e[c + k]
+                return k, a, e[c + k + 1] - a
 
             def id_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 y = np.searchsorted(model.zero, v, side="right") - 1
