@@ -63,6 +63,7 @@ class _Model:
             # Every id keeps one part of the scale; the rest follows the counts.
             self.zero = seen * ((1 << ZERO) - self.n) // max(1, int(seen[-1])) + np.arange(self.n + 1) if seen[-1] else np.arange(self.n + 1) * ((1 << ZERO) // self.n)
             self.zero[-1] = 1 << ZERO
+            self.zero = self.zero.astype(np.int32)
 
     def learn(self, x: np.ndarray, event: np.ndarray) -> None:
         self.held += np.bincount(self.state * 3 + event, minlength=96).reshape(32, 3)
@@ -74,6 +75,12 @@ class _Model:
         self.last, self.step = x, self.step + 1
 
 
+def _narrowed(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Widths cut where a range is narrow but its first digit isn't settled, so that no carry is needed."""
+    narrow = ((low ^ (low + width)) >= TOP) & (width < BOTTOM)
+    return np.where(narrow, (~low + U64(1)) & (BOTTOM - U64(1)), width) if narrow.any() else width
+
+
 def _lanes(n: int) -> int:
     return max(1, min(LANES, n // 256))
 
@@ -95,18 +102,14 @@ def pack(ids: np.ndarray) -> bytes:
         l, w = (low, width) if len(who) == lanes else (low[who], width[who])
         r = w >> U64(bits)
         l, w = l + r * start.astype(U64), r * size.astype(U64)
-        while True:
-            settled, narrow = (l ^ (l + w)) < TOP, w < BOTTOM
-            act = settled | narrow
-            k = np.flatnonzero(act)
-            if not len(k):
-                break
-            if narrow.any():
-                w = np.where(narrow & ~settled, (~l + U64(1)) & (BOTTOM - U64(1)), w)
-            lane = who[k]
-            out[lane, at[lane]] = (l[k] >> U64(48)).astype(np.uint16)
+        k = np.flatnonzero(((l ^ (l + w)) < TOP) | (w < BOTTOM))
+        while len(k):
+            lk, wk, lane = l[k], w[k], who[k]
+            wk = _narrowed(lk, wk)
+            out[lane, at[lane]] = lk >> U64(48)
             at[lane] += 1
-            l[k], w[k] = l[k] << U64(16), w[k] << U64(16)
+            l[k], w[k] = lk, wk = lk << U64(16), wk << U64(16)
+            k = k[((lk ^ (lk + wk)) < TOP) | (wk < BOTTOM)]
         low[who], width[who] = l, w
 
     with np.errstate(over="ignore"):
@@ -150,17 +153,14 @@ def unpack(block: bytes) -> np.ndarray:
         value = np.minimum((c - l) // r, U64((1 << bits) - 1)).astype(np.int64)
         found, start, size = find(value)
         l, w = l + r * start.astype(U64), r * size.astype(U64)
-        while True:
-            settled, narrow = (l ^ (l + w)) < TOP, w < BOTTOM
-            k = np.flatnonzero(settled | narrow)
-            if not len(k):
-                break
-            if narrow.any():
-                w = np.where(narrow & ~settled, (~l + U64(1)) & (BOTTOM - U64(1)), w)
-            lane = who[k]
+        k = np.flatnonzero(((l ^ (l + w)) < TOP) | (w < BOTTOM))
+        while len(k):
+            lk, wk, lane = l[k], w[k], who[k]
+            wk = _narrowed(lk, wk)
             c[k] = (c[k] << U64(16)) | words[np.minimum(at[lane], last)]
             at[lane] += 1
-            l[k], w[k] = l[k] << U64(16), w[k] << U64(16)
+            l[k], w[k] = lk, wk = lk << U64(16), wk << U64(16)
+            k = k[((lk ^ (lk + wk)) < TOP) | (wk < BOTTOM)]
         low[who], width[who], code[who] = l, w, c
         return found
 
@@ -178,7 +178,7 @@ def unpack(block: bytes) -> np.ndarray:
                 return k, a, e[c + k + 1] - a
 
             def id_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                y = np.searchsorted(model.zero, v, side="right") - 1
+                y = np.searchsorted(model.zero, v.astype(np.int32), side="right") - 1
                 return y, model.zero[y], model.zero[y + 1] - model.zero[y]
 
             event = take(everyone, event_of, MIX)
