@@ -50,3 +50,51 @@ def test_no_python_in_the_plan(spark):
 
 def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def written(regex):
+    """Texts that a rule's regex matches: each alternative, option and repetition at its ends, each choice once."""
+    from re import _parser as parser
+
+    def strings(tree):
+        out = [""]
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                parts = [chr(arg)]
+            elif name == "IN":
+                parts = [chr(c) for kind, c in arg if str(kind) == "LITERAL"] or ["x"]
+            elif name == "ANY":
+                parts = ["x"]
+            elif name == "BRANCH":
+                parts = [s for branch in arg[1] for s in strings(branch)]
+            elif name == "SUBPATTERN":
+                parts = strings(arg[3])
+            else:
+                assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+                low, _, inner = arg
+                parts = ([""] if not low else []) + [s * max(low, 1) for s in strings(inner)]
+            out = [a + p for a in out for p in parts]
+        return out
+
+    return strings(parser.parse(regex))
+
+
+def test_every_match_of_a_rule_holds_a_keyword():
+    for _, keywords, regex, _ in L.rules():
+        for text in written(regex):
+            assert re.fullmatch(regex, text) and any(f" {k}" in f" {text}" for k in keywords.split("|")), (keywords, text)
+
+
+def test_every_alternative_is_found_like_without_keywords(spark):
+    """Each rule's texts, in capitals and with line breaks between words, against all rules tried one by one."""
+    texts = sorted({t for _, _, regex, _ in L.rules() for t in written(regex)[:: max(1, len(written(regex)) // 6)]})
+    texts += ["dual GPL v2 / 3-clause BSD", "CC BY-SA 4.0", "same terms as Perl", "MPL 2.0", "proprietary and confidential", "public\ndomain", "in the public\n domain", "Psf License"]
+    rules = [(label, re.compile(f"(?<= ){regex}(?= )"), priority) for label, _, regex, priority in L.rules()]
+    docs = spark.createDataFrame([(i, f"({t.upper()})".replace(" ", " \n")) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in L.scan(docs).collect():
+        line = f" {' '.join(texts[r.doc_id].lower().replace('/', ' ').replace('-', ' ').replace('.', ' ').split())} "
+        found = [(label, p, m.start(), m.end()) for label, rule, p in rules for m in rule.finditer(line)]
+        kept = {d for d in found if not any(e[2] <= d[2] and e[3] >= d[3] and (e[1] > d[1] or e[1] == d[1] and e[3] - e[2] > d[3] - d[2]) for e in found)}
+        assert {tuple(d) for d in r.detections} == kept, line
+        assert {d[0] for d in kept} <= set(r.labels.split(",")) | {""}
