@@ -2,7 +2,8 @@
 
 Two first-order character models, one trained on random strings and one on ordinary identifiers,
 score every long run of key-like characters. A run whose log-likelihood ratio per character is
-over THRESHOLD, and that mixes letters and digits, is a secret of kind "markov".
+over THRESHOLD, and that mixes letters and digits, is a secret of kind "markov". Of other runs,
+the stretches of LEAST characters or more that are so are: keys glued to names or paths.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Runs that the models judge.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters of a run, or of a stretch of it, that the models judge.
+LEAST = 20
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Nats per character by which a run must be likelier under the random model.
 THRESHOLD = 0.6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -88,6 +90,51 @@ def ratio(s: str) -> float:
     return (rand.score(s) - plain.score(s)) / len(s)
 
 
+@lru_cache(1)
+def steps() -> dict[str, dict[str, float]]:
+    """The log-likelihood ratio of each character after each other one."""
+    rand, plain = models()
+    return {a: {b: x - plain.logs[a][b] for b, x in row.items()} for a, row in rand.logs.items()}
+
+
+def random_like(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and ratio(s) > THRESHOLD
+
+
+def stretches(s: str) -> list[tuple[int, int]]:
+    """(start, end) of what is random-like in a run: all of it, or else disjoint stretches of LEAST characters or more.
+
+    The stretch of the highest sum of ratios is judged as it extends to the next = / _ - + on either
+    side, then as it is; so are, in turn, what lies before and behind it.
+    """
+    if random_like(s):
+        return [(0, len(s))]
+    out, todo, by = [], [(0, len(s))], steps()
+    while todo:
+        low, high = todo.pop()
+        if high - low < LEAST:
+            continue
+        best, total, a, b, start = 0.0, 0.0, low, low, low
+        for i in range(low, high):
+            total += by[s[i - 1] if i else "^"][s[i]]
+            if total > best:
+                best, a, b = total, start, i + 1
+            elif total <= 0:
+                total, start = 0.0, i + 1
+        if a == b:
+            continue
+        c, d = a, b
+        while c > low and s[c - 1] not in "=/_-+":
+            c -= 1
+        while d < high and s[d] not in "=/_-+":
+            d += 1
+        found = next(((x, y) for x, y in ((c, d), (a, b)) if y - x >= LEAST and random_like(s[x:y])), None)
+        out += [found] if found else []
+        a, b = found or (a, b)
+        todo += [(low, a), (b, high)]
+    return sorted(out)
+
+
 def secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every secret, by start and then kind; spans of different kinds may overlap."""
     out = []
@@ -99,9 +146,10 @@ def secrets(text: str) -> list[tuple[int, int, str]]:
     for m in RUN.finditer(text):
         s = m[0]
         out += [(m.start() + h.start(), m.start() + h.end(), "hex") for h in HEX.finditer(s)]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and ratio(s) > THRESHOLD:
-            if not any(a <= m.start() and m.end() <= b for a, b, k in out if k != "markov"):
-                out.append((m.start(), m.end(), "markov"))
+        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+            for c, d in ((m.start() + c, m.start() + d) for c, d in stretches(s)):
+                if not any(a <= c and d <= b for a, b, k in out if k != "markov"):
+                    out.append((c, d, "markov"))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 

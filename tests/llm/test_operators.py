@@ -135,6 +135,21 @@ def test_markov_models_tell_held_out_samples():
     assert right >= 0.99 * len(held)
 
 
+def test_markov_finds_keys_glued_to_names():
+    r = random.Random(77)
+    glue = ("DATABASE_CONNECTION_STRING={}", "api/v2/customers/settings/export/{}", "my-service-account-credential-{}", "client_auth={}", "api/v2/{}/settings/export", "content-manager_{}=session")
+    hits = []
+    for i in range(1200):
+        before, after = glue[i % 6].split("{}")
+        key = "".join(r.choices(secret_scan.ALPHABET[:62], k=r.randint(20, 40)))
+        spans = [(a, b) for a, b, kind in secret_scan.secrets(f"x {before}{key}{after} y") if kind == "markov"]
+        hits.append(any(a <= 4 + len(before) and b >= len(before) + len(key) for a, b in spans))
+    assert sum(hits) >= 0.97 * len(hits)
+    two = "exports/Kj8vQ2xZ9mWp4Lr7Tn3Yb6Hs1Dg5Fc0X/customer_settings_of_the_application_configuration/zQ7pW3kX9vB2nM5tR8yL4cF6hJ1gD0sA"
+    assert secret_scan.redacted(two).endswith("[SECRET]/customer_settings_of_the_application_configuration/[SECRET]")
+    assert not any(any(c.isdigit() for c in s) and secret_scan.stretches(s) for s, y in secret_scan.labelled_samples(seed=99, n=2000) if not y)
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefgh b", 18, "s"), (2, None, None, "s"), (3, "clean", 5, "s")], "doc_id long, text string, n_chars long, source string")
     got = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redact(docs).collect()}
