@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,10 @@ from pyspark.sql import functions as F
 
 from icekeel.llm._common import U64, chunks, hash_words, materialize, mix64, small_side, texts
 
-#: Masks over windows of words: 1 counts, 0 is ignored.
-MASKS = ("1101100101", "1010011011", "111001011")
+#: Masks over windows of words: 1 counts, 0 is ignored. Every run that counts has a window where one of them sees no substitution.
+MASKS = ("1101100101", "1010011011", "111001011", "1011111", "111111")
 #: Words of a run that counts, or the whole item where that is shorter; and the least share of them that agree.
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
-#: Words of an item up to which it can't hold a window: it is then one seed as a whole.
-SPAN = max(map(len, MASKS))
 #: Seeds of the benchmark up to which they go to every task (8 bytes each, and 16 for item and place).
 BOUND_SEEDS = 2_000_000
 
@@ -37,8 +36,15 @@ def words_of(text: str) -> list[str]:
 
 
 def _shapes(n: int) -> list[tuple[int, ...]]:
-    """Positions of the masks that an item of n words is hashed by."""
-    return [tuple(i for i, x in enumerate(m) if x == "1") for m in MASKS] if n >= SPAN else [tuple(range(n))] if n else []
+    """Positions of the masks that an item of n words is hashed by.
+
+    An item that counts only as a whole is laid out in groups, two more than the substitutions that it
+    may have, and has a mask for each choice of that many groups to ignore.
+    """
+    if n >= LEAST_WORDS:
+        return [tuple(i for i, x in enumerate(m) if x == "1") for m in MASKS]
+    spare = int(n * (1 - LEAST_SHARE) + 1e-9)
+    return [tuple(i for i in range(n) if i * (spare + 2) // n not in out) for out in combinations(range(spare + 2), spare)] if n else []
 
 
 def seeds(hashes: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
@@ -79,7 +85,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, hash_words(words_of(t or ""))) for i, t in items]
         self.shapes = sorted({s for _, h in self.items for s in _shapes(len(h))})
-        by = [(seeds(h, s)[: 1 if len(h) < SPAN else None], k) for k, (_, h) in enumerate(self.items) for s in _shapes(len(h))]
+        by = [(seeds(h, s)[: 1 if len(h) < LEAST_WORDS else None], k) for k, (_, h) in enumerate(self.items) for s in _shapes(len(h))]
         self.seed = np.concatenate([x for x, _ in by]) if by else np.zeros(0, U64)
         self.item = np.concatenate([np.full(len(x), k) for x, k in by]) if by else np.zeros(0, np.int64)
         self.place = np.concatenate([np.arange(len(x)) for x, _ in by]) if by else np.zeros(0, np.int64)
@@ -163,16 +169,20 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
             ids, out = batch.column(0).to_pylist(), []
             for i, h in _hashed(batch.column(1)):
                 for s in _shapes(len(h)):
-                    out += [(int(x), ids[i], p) for p, x in enumerate(seeds(h, s)[: 1 if len(h) < SPAN else None].view(np.int64))]
+                    out += [(int(x), ids[i], p) for p, x in enumerate(seeds(h, s)[: 1 if len(h) < LEAST_WORDS else None].view(np.int64))]
             yield _rows(out, "seed, item_id, place")
 
-    shapes = sorted({s for n in range(1, SPAN + 1) for s in _shapes(n)})
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _rows([(n,) for n in {min(len(h), LEAST_WORDS) for _, h in _hashed(batch.column(1))}], "n")
+
+    shapes = sorted({s for r in items.mapInArrow(lengths, "n long").distinct().collect() for s in _shapes(r.n)})  # LEAST_WORDS + 1 rows at most
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i, h in _hashed(batch.column(1)):
-                found = [seeds(h, s).view(np.int64) for s in shapes]
+                found = [seeds(h, s).view(np.int64) for s in shapes] or [np.zeros(0, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array([ids[i]] * sum(map(len, found)), pa.int64()), pa.array(np.concatenate([np.arange(len(x)) for x in found]))], ["seed", "doc_id", "at"])
 
     left = items.mapInArrow(of_items, "seed long, item_id long, place long")

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import random
 import re
 import zlib
@@ -223,6 +224,42 @@ def test_decontamination(spark, bound):
     assert decontamination.contaminated(table, benchmark.limit(0), bound).collect() == []
 
 
+def test_seeds_meet_every_placement_of_the_allowed_substitutions():
+    d = decontamination
+    r = np.random.default_rng(12)
+    for n in range(1, 16):
+        item = [f"i{k}" for k in range(n)]
+        index = d.Index([(7, " ".join(item))])
+        before, after = r.integers(0, 5, 2)
+        for out in itertools.combinations(range(n), n // 5):
+            doc = [*(f"b{k}" for k in range(before)), *("s" if k in out else w for k, w in enumerate(item)), *(f"a{k}" for k in range(after))]
+            if n <= d.LEAST_WORDS or 0 not in out and n - 1 not in out:
+                assert [m[0] for m in index.matches(d.hash_words(doc))] == [7], (n, out)
+    # Longer runs: what has 26 words or more has a shorter run that counts.
+    for n in range(13, 26):
+        places = np.array(list(itertools.combinations(range(n), n // 5)))
+        same = np.ones((len(places), n), bool)
+        np.put_along_axis(same, places, False, 1)
+        hit = np.zeros(len(places), bool)
+        for shape in d._shapes(n):
+            for at in range(n - shape[-1]):
+                hit |= same[:, [at + i for i in shape]].all(1)
+        assert hit.all(), n
+
+
+@pytest.mark.parametrize("bound", [decontamination.BOUND_SEEDS, 0])
+def test_short_items_with_substitutions(spark, bound):
+    items = [" ".join(f"i{n}x{k}" for k in range(n)) for n in (4, 5, 9, 10, 12)]
+    docs = []
+    for t in items:
+        w = t.split()
+        for at in range(0, len(w), 3):
+            docs.append(" ".join(["one", *("s" if k == at or len(w) > 9 and k == at + 1 else x for k, x in enumerate(w)), "more"]))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, docs), benchmark, bound).collect()}
+    assert got == {(i, k) for i, d in enumerate(docs) for k, t in enumerate(items) if k and f"i{len(t.split())}x" in d}
+
+
 def test_edits(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
     r = random.Random(2)
