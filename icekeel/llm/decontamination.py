@@ -8,7 +8,6 @@ kept. A small benchmark (its seeds are counted) goes to every task; a larger one
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,6 +27,8 @@ LEAST_WORDS, LEAST_SHARE = 13, 0.8
 BOUND_SEEDS = 2_000_000
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: Key of a row of documents where they are joined: ids may be null or repeat.
+ROW = "icekeel_row"
 MATCH_SCHEMA = "doc_id long, item_id long, first_word long, n_words long, n_same long"
 
 
@@ -149,7 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND_SEEDS
     """
     docs, items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _items(benchmark)
     if _n_seeds(items) > bound:
-        return _joined(docs, items)
+        return _joined(_keyed(docs), items).drop(ROW)
     index = Index([(r.item_id, r.text) for r in items.collect()])  # bound seeds at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +161,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND_SEEDS
     return docs.mapInArrow(run, MATCH_SCHEMA)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with the key ROW, written so that it stays the same."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """contaminated() for a benchmark of any size: seeds meet in a join, pairs are verified on their texts."""
+    """contaminated() with ROW, for a benchmark of any size: seeds meet in a join, pairs are verified on their texts."""
     items = materialize(items)
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,37 +186,40 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, h in _hashed(batch.column(1)):
+            ids = batch.column(ROW).to_pylist()
+            for i, h in _hashed(batch.column("text")):
                 found = [seeds(h, s).view(np.int64) for s in shapes] or [np.zeros(0, np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array([ids[i]] * sum(map(len, found)), pa.int64()), pa.array(np.concatenate([np.arange(len(x)) for x in found]))], ["seed", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array([ids[i]] * sum(map(len, found)), pa.int64()), pa.array(np.concatenate([np.arange(len(x)) for x in found]))], ["seed", ROW, "at"])
 
     left = items.mapInArrow(of_items, "seed long, item_id long, place long")
-    lays = docs.filter("doc_id is not null").mapInArrow(of_docs, "seed long, doc_id long, at long").join(left, "seed").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    lays = docs.mapInArrow(of_docs, f"seed long, {ROW} long, at long").join(left, "seed").select(ROW, "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
     lays = materialize(lays)
-    hit = materialize(lays.select("doc_id").distinct())
-    texts_of = docs.join(small_side(hit), "doc_id", "left_semi").select("doc_id", F.col("text").alias("doc"))
-    both = lays.groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts")).join(items.select("item_id", F.col("text").alias("item")), "item_id").join(texts_of, "doc_id")
+    hit = materialize(lays.select(ROW).distinct())
+    texts_of = docs.join(small_side(hit), ROW, "left_semi").select(ROW, "doc_id", F.col("text").alias("doc"))
+    both = lays.groupBy(ROW, "item_id").agg(F.collect_set("shift").alias("shifts")).join(items.select("item_id", F.col("text").alias("item")), "item_id").join(texts_of, ROW)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: dict[tuple[int, int, int], tuple[int, int, int]] = defaultdict(lambda: (0, 0, 0))
-            for k, r in enumerate(batch.to_pylist()):
+            found = []
+            for r in batch.to_pylist():
+                best = (0, 0, 0)
                 doc, item = hash_words(words_of(r["doc"] or "")), hash_words(words_of(r["item"]))
                 for shift in sorted(r["shifts"]):
-                    if (o := overlap(doc, item, shift)) and o[2] > best[r["doc_id"], r["item_id"], k][2]:
-                        best[r["doc_id"], r["item_id"], k] = o
-            yield _rows([(d, i, *o) for (d, i, _), o in best.items() if o[1]], MATCH_SCHEMA)
+                    if (o := overlap(doc, item, shift)) and o[2] > best[2]:
+                        best = o
+                found += [(r[ROW], r["doc_id"], r["item_id"], *best)] if best[1] else []
+            yield _rows(found, f"{ROW} long, {MATCH_SCHEMA}")
 
-    return both.mapInArrow(verify, MATCH_SCHEMA)
+    return both.mapInArrow(verify, f"{ROW} long, {MATCH_SCHEMA}")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND_SEEDS) -> DataFrame:
     """docs without those that overlap an item, with their columns as they are."""
     items = _items(benchmark)
     if _n_seeds(items) > bound:
-        hit = materialize(contaminated(docs, benchmark, bound).select("doc_id").distinct())
-        return docs.join(small_side(hit), "doc_id", "left_anti").select(docs.columns)
+        rows = _keyed(docs)
+        hit = materialize(_joined(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text"), items).select(ROW).distinct())
+        return rows.join(small_side(hit), ROW, "left_anti").select(docs.columns)
     index = Index([(r.item_id, r.text) for r in items.collect()])  # bound seeds at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

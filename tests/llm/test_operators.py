@@ -260,6 +260,17 @@ def test_short_items_with_substitutions(spark, bound):
     assert got == {(i, k) for i, d in enumerate(docs) for k, t in enumerate(items) if k and f"i{len(t.split())}x" in d}
 
 
+@pytest.mark.parametrize("bound", [decontamination.BOUND_SEEDS, 0])
+def test_decontamination_with_null_and_repeated_ids(spark, bound):
+    item = " ".join(WORDS[:20])
+    docs = frame(spark, [f"a {item}", "clean one", f"{item} b", "clean two", f"{item} b", "clean three"], [None, None, 5, 5, 5, 6])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.item_id, r.n_same) for r in decontamination.contaminated(docs, benchmark, bound).collect()), key=str)
+    assert got == [(5, 1, 20), (5, 1, 20), (None, 1, 20)]
+    kept = decontamination.keep_clean(docs, benchmark, bound)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["clean one", "clean three", "clean two"]
+
+
 def test_edits(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
     r = random.Random(2)
