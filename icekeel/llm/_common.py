@@ -82,6 +82,14 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that few rows at a time are Python objects; memory goes back to the system between them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        trim()
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The finalizer of SplitMix64 over an array of unsigned 64-bit integers."""
     with np.errstate(over="ignore"):

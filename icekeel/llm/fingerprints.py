@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import U64, chunks, hash_words, mix64, texts, trim
+from icekeel.llm._common import chunks, hash_words, mix64, sliced, texts
 
 #: Bits of a fingerprint, and weight of a word pair against a word.
 BITS, PAIR = 128, 2.0
@@ -89,19 +89,11 @@ def within_radius(prints: DataFrame, radius: int, blocks: int | None = None) ->
     return a.join(b, "key").filter("a < b").select("a", "b").distinct().withColumn("distance", distance).filter(F.col("distance") <= radius)
 
 
-def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches in slices, so that few rows at a time are Python objects; memory goes back to the system between them."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-        trim()
-
-
 def _dealt(bounds: np.ndarray, heads: dict[int, int]):
     """docs -> rows with fingerprint, compressed text and bucket; a bucket's head also goes to the bucket before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             ids, all_texts = batch.column("doc_id").to_pylist(), texts(batch.column("text"))
             for start, end in chunks(all_texts, 8 << 20):
                 rows = []
@@ -137,7 +129,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    for batch in _sliced(batches):
+    for batch in sliced(batches):
         for r in batch.to_pylist():
             r["text"] = text(r)
             if before is not None and before["bucket"] == r["bucket"] and not before["extra"]:
