@@ -1,7 +1,6 @@
 """Operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
-import html
 import itertools
 import random
 import re
@@ -11,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from icekeel.llm import bpe, decontamination, fingerprints, html_text, jaccard_join, quality, secret_scan, token_files
+from icekeel.llm import bpe, decontamination, fingerprints, jaccard_join, quality, secret_scan, token_files
 from icekeel.llm.components import connected_components
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -304,35 +303,6 @@ def test_block_tables_find_all_within_radius(spark):
     assert [x.fingerprint for x in fingerprints.fingerprints(frame(spark, [None, ""])).collect()] == ["0" * 32] * 2
 
 
-PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><div class="ad">Buy</div><div class="site-hint">Same on all pages</div><article><h1>{0} &amp; title</h1><p><b>Bold {0}<br><p>Text\n\tof  {0}&nbsp;&lt;b&gt;</p><aside>Side</aside><div class="comments"><p>Reader</p></div><script>1</script></article><footer>&copy; x</footer></body></html>'
-
-
-def test_html_pages(spark):
-    pages = [(i, f"http://h.example/{i}", PAGE.format(i), 7) for i in range(12)]
-    pages += [(100, None, None, 7), (101, "http://h.example/", "", 7), (102, "x", "<p>open <i>tag</i><div>one<p>two &eacute;", 7), (103, "x", "a < b <!-- c --> d", 7), (0, "http://h.example/0", PAGE.format(0), 7), (104, "x", "<" * 3000 + "p", 7)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, text int").repartition(3)
-    got = {r.page_id: r for r in html_text.extract(df).collect()}
-    assert html_text.extract(df).count() == len(pages)
-    for i in range(12):
-        assert got[i].text == f"{i} & title\nBold {i}\nText of {i} <b>" and got[i].n_chars == len(got[i].text)
-    assert (got[100].text, got[100].n_chars, got[101].text) == ("", 0, "")
-    assert got[102].text == "open tag\none\ntwo " + html.unescape("&eacute;") and got[103].text == "a < b d"
-    assert html_text.extract(df.limit(0)).collect() == []
-
-
-BARE = '<html><body><div class="hint">Same on all pages</div><div class="text"><p>Story {0} goes on</p></div></body></html>'
-
-
-@pytest.mark.parametrize("bound", [html_text.BOUND_LOW, -1])
-def test_style_tree_drops_what_all_pages_share(spark, monkeypatch, bound):
-    monkeypatch.setattr(html_text, "BOUND_LOW", bound)
-    df = spark.createDataFrame([(i, f"https://Site.example:80/{i}", BARE.format(i)) for i in range(10)] + [(50, "http://small.example/", BARE.format("x"))] * 3, "page_id long, url string, html string")
-    tree = {(r.host, r.path): r for r in html_text.style_tree(df).collect()}
-    assert tree["site.example", "html>body>div.hint"].importance < 0.2 < 0.9 < tree["site.example", "html>body>div.text"].importance
-    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
-    assert got[3] == "Story 3 goes on" and got[50] == "Same on all pages\nStory x goes on"
-
-
 def test_blocks_round_trip_and_damage():
     r = np.random.default_rng(0)
     for n in (0, 1, 2, 300, 1000, 30000):
