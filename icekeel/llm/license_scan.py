@@ -3,7 +3,7 @@
 The words of every text are joined by single blanks, and the rules' keywords are looked up there.
 A rule is tried where one of its keywords stands; every match of its regex holds one, so nothing
 is lost. A detection inside the interval of another with a higher priority (or as high and wider)
-is suppressed.
+is suppressed. Detections are found and sifted in one pass each, however many there are.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What lies between words of any case.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Detections in a run, and what holds one: sorted by it, detections stand by start, the wider and then the higher first.
+BLOCK, HIT = 256, "struct<first:int,back:int,rank:int,label:string>"
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 #: label; keywords, one of which begins a word in every match; the names' regex over words joined by blanks; the SPDX identifier's regex.
@@ -123,6 +125,83 @@ CLAUSES = (
     ("proprietary", "all rights reserved", r"all rights reserved", 30),
     ("proprietary", "proprietary", r"proprietary and confidential", 60),
     ("proprietary", "written permission|written consent", r"without (?:the )?(?:express |prior )*written (?:permission|consent)", 35),
+    ("mit", "without warranty of any kind", r"the software is provided as is without warranty of any kind express or implied", 70),
+    ("mit", "authors or copyright", r"in no event shall the authors or copyright holders be liable for any claim", 65),
+    ("json", "good not evil", r"the software shall be used for good not evil", 97),
+    ("boost", "person or organization obtaining", r"permission is hereby granted free of charge to any person or organization obtaining a copy", 96),
+    ("unicode", "unicode data", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", 97),
+    ("bsd", "redistributions of source", r"redistributions of source code must retain the above copyright notice", 85),
+    ("bsd", "redistributions in binary", r"redistributions in binary form must reproduce the above copyright notice", 85),
+    ("bsd", "contributors as is", r"this software is provided by the (?:copyright holders|regents|author) and contributors as is", 80),
+    ("isc", "disclaims all warranties", r"the software is provided as is and the author disclaims all warranties", 85),
+    ("curl", "with or without fee", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 94),
+    ("ntp", "with or without fee", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee", 94),
+    ("hpnd", "is hereby granted without fee", r"permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose is hereby granted without fee", 93),
+    ("postgresql", "without fee and without", r"and its documentation for any purpose without fee and without a written agreement is hereby granted", 94),
+    ("apache", "licensed to the apache", r"licensed to the apache software foundation asf under one or more contributor license agreements", 95),
+    ("apache", "unless required by applicable", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 85),
+    ("apache", "perpetual worldwide non", r"perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license", 85),
+    ("apache-1.1", "this product includes software", r"this product includes software developed by the apache software foundation", 90),
+    ("openssl", "this product includes software", r"this product includes software developed by the openssl project", 93),
+    ("openssl", "names openssl", r"the names openssl toolkit and openssl project must not be used", 92),
+    ("php", "this product includes php", r"this product includes php software freely available from", 92),
+    ("gpl", "this program is free", r"this program is free software you can redistribute it", 88),
+    ("gpl", "you should have received", r"you should have received a copy of the gnu general public license", 80),
+    ("lgpl", "you should have received", r"you should have received a copy of the gnu (?:lesser|library) general public license", 82),
+    ("agpl", "you should have received", r"you should have received a copy of the gnu affero general public license", 83),
+    ("gpl", "hope that it will", r"in the hope that it will be useful but without any warranty", 70),
+    ("gpl-classpath", "linking this library", r"linking this library statically or dynamically with other modules", 90),
+    ("gfdl", "distribute and or modify this", r"permission is granted to copy distribute and or modify this document", 93),
+    ("gfdl", "no invariant sections", r"with no invariant sections no front cover texts and no back cover texts", 90),
+    ("mpl", "this source code form", r"this source code form is subject to the terms of the mozilla public license", 94),
+    ("mpl", "contents of this file", r"the contents of this file are subject to the mozilla public license", 93),
+    ("mpl", "copy of the mpl", r"if a copy of the mpl was not distributed with this file", 90),
+    ("cddl", "contents of this file", r"the contents of this file are subject to the terms of the common development and distribution license", 94),
+    ("cddl", "include this cddl", r"when distributing covered (?:code|software) include this cddl header", 90),
+    ("epl", "accompanying materials", r"this program and the accompanying materials are made available under", 80),
+    ("artistic", "verbatim copies of the source", r"you may make and give away verbatim copies of the source form", 85),
+    ("artistic", "this package is provided", r"this package is provided as is and without any express or implied warranties", 85),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such", 90),
+    ("zlib", "origin of this software", r"the origin of this software must not be misrepresented", 90),
+    ("wtfpl", "you just do", r"you just do what the \S+ you want to", 90),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return", 90),
+    ("unlicense", "anyone is free", r"anyone is free to copy modify publish use compile sell or distribute this software", 95),
+    ("cc0", "copyright and related", r"waived all (?:of his or her )?(?:rights to the work worldwide under )?copyright and related (?:or|and) neighboring rights", 92),
+    ("cc0", "associated a work", r"the person who associated a work with this deed", 90),
+    ("cc", "appropriate credit", r"you must give appropriate credit provide a link to the license and indicate if changes were made", 75),
+    ("cc", "redistribute the material", r"share copy and redistribute the material in any medium or format", 70),
+    ("cc-by-nc", "material for commercial", r"you may not use the material for commercial purposes", 80),
+    ("cc-by-sa", "contributions under the same", r"you must distribute your contributions under the same license as the original", 80),
+    ("cc-by-nd", "distribute the modified material", r"you may not distribute the modified material", 80),
+    ("ofl", "this font software", r"this font software is licensed under the sil open font license", 95),
+    ("ofl", "original or modified versions", r"neither the font software nor any of its individual components in original or modified versions may be sold by itself", 90),
+    ("ftl", "freetype project", r"portions of this software are copyright .{1,60}? the freetype project", 92),
+    ("ijg", "independent jpeg", r"based in part on the work of the independent jpeg group", 90),
+    ("imagemagick", "imagemagick studio", r"imagemagick studio llc", 70),
+    ("psf", "psf is making|psf hereby", r"psf is making python(?: .{1,20}?)? available to licensee on an as is basis|psf hereby grants licensee a nonexclusive royalty free", 92),
+    ("w3c", "obtaining and or copying", r"by obtaining and or copying this work you the licensee agree", 92),
+    ("vim", "no restrictions on distributing", r"there are no restrictions on distributing unmodified copies of vim", 92),
+    ("elastic", "hosted or managed", r"you may not provide the software to third parties as a hosted or managed service", 92),
+    ("sspl", "third parties as a service", r"functionality of the program or a modified version available to third parties as a service", 92),
+    ("bsl", "non production use", r"redistribute and make non production use of the licensed work", 92),
+    ("commons-clause", "commons clause", r"commons clause(?: license condition)?", 80),
+    ("commons-clause", "right to sell the software", r"does not include and the license does not grant to you the right to sell the software", 92),
+    ("polyform", "polyform", r"polyform (?:noncommercial|small business|internal use|perimeter|shield|strict)", 85),
+    ("llama", "llama", r"llama(?: [234](?: [123])?)? community license", 85),
+    ("openrail", "use based restrictions", r"use based restrictions as set forth in attachment a", 90),
+    ("perl", "same terms as perl", r"(?:modify|redistribute) it under the same terms as perl itself", 90),
+    ("public-domain", "copyright protection", r"not subject to copyright protection(?: in the united states)?", 70),
+    ("public-domain", "no copyright is", r"no copyright is claimed", 55),
+    ("dual", "dual licensed", r"dual licensed under", 40),
+    ("eula", "end user", r"end user licen[cs]e agreement", 45),
+    ("see-file", "see the license|see the file|see license", r"see the license file for|see the file (?:license|copying) for|see license (?:txt|md) for", 25),
+    ("proprietary", "no part of this", r"no part of this (?:publication|document|work) may be reproduced", 55),
+    ("proprietary", "reproduced in any form", r"may not be reproduced in any form", 50),
+    ("proprietary", "unauthorized|unauthorised", r"unauthori[sz]ed (?:copying|reproduction|distribution|use) of this (?:file|document|software)", 50),
+    ("proprietary", "evaluation purposes", r"for evaluation purposes only", 45),
+    ("proprietary", "trade secrets", r"contains (?:confidential information and )?trade secrets of", 50),
+    ("non-commercial", "personal and non", r"for (?:your )?personal and non ?commercial use", 50),
+    ("non-commercial", "research purposes", r"for (?:academic or |non commercial )?research purposes only", 45),
     ("non-commercial", "non commercial use|noncommercial use", r"(?:for )?non ?commercial use only", 55),
 )
 
@@ -150,30 +229,64 @@ def _positions(words: Column, phrase: str) -> Column:
     return F.filter(F.transform(words, place), lambda i: i.isNotNull())
 
 
+def _in_blocks(values: Column) -> Column:
+    """values cut in runs of BLOCK: arrays grow within a run, so that building one costs as much for each of its values."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda s: F.slice(values, s, F.lit(BLOCK)))
+
+
 def _detections(text: Column, rule: Column) -> Column:
     """The intervals [start, end) of a rule's matches, from the lengths of matches and of what lies between."""
     regex = F.concat(F.lit("(?<= )"), rule["regex"], F.lit("(?= )"))
     found, between = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, -1)
     sizes = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<label:string,priority:int,first:int,last:int>>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        first = acc["at"] + s["b"]
-        hit = F.struct(rule["label"].alias("label"), rule["priority"].alias("priority"), first.alias("first"), (first + s["m"]).alias("last"))
-        return F.struct((first + s["m"]).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+    def run(at: Column, block: Column) -> Column:
+        empty = F.struct(at.alias("at"), F.array().cast(f"array<{HIT}>").alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            first = acc["at"] + s["b"]
+            hit = F.struct(first.alias("first"), (-(first + s["m"])).alias("back"), (-rule["priority"]).alias("rank"), rule["label"].alias("label"))
+            return F.struct((first + s["m"]).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+
+        return F.aggregate(block, empty, step, lambda acc: acc["out"])
 
-    return F.aggregate(sizes, empty, step, lambda acc: acc["out"])
+    def offset(acc: Column, block: Column) -> Column:
+        return F.struct(F.aggregate(block, acc["at"], lambda n, s: n + s["b"] + s["m"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.flatten(F.transform(F.array(_in_blocks(sizes)), lambda blocks: F.flatten(F.zip_with(F.aggregate(blocks, none, offset, lambda acc: acc["out"]), blocks, run))))
 
 
 def _unsuppressed(found: Column) -> Column:
-    """Detections that no other one covers with a higher priority, or with the same and a wider interval."""
+    """Detections that no other one covers with a higher priority, or with the same and a wider interval, by their places.
+
+    One pass in the order of starts, wider intervals first: reach holds, for each priority from the highest, how far the
+    intervals before reach, and here the same for those that equal the one at hand.
+    """
+    levels = sorted({p for *_, p in rules()}, reverse=True)
+    level = F.create_map(*(F.lit(x) for k, p in enumerate(levels) for x in (-p, k)))
+    none = F.array_repeat(F.lit(-1), len(levels))
+    kept = "array<struct<label:string,priority:int,first:int,last:int>>"
+
+    def step(acc: Column, d: Column) -> Column:
+        fresh = (d["first"] != acc["first"]) | (d["back"] != acc["back"])
+        reach = F.when(fresh, F.zip_with(acc["reach"], acc["here"], lambda a, b: F.greatest(a, b))).otherwise(acc["reach"])
+        here = F.when(fresh, none).otherwise(acc["here"])
+        k, last = level[d["rank"]], -d["back"]
+        higher = F.exists(F.slice(reach, F.lit(1), k), lambda r: r >= last) | F.exists(F.slice(here, F.lit(1), k), lambda r: r >= last)
+        covered = higher | (F.get(reach, k) >= last)
+        hit = F.struct(d["label"].alias("label"), (-d["rank"]).alias("priority"), d["first"].alias("first"), last.alias("last"))
+        out = F.when(covered, acc["out"]).otherwise(F.concat(acc["out"], F.array(hit)))
+        here = F.transform(here, lambda r, i: F.when(i == k, F.greatest(r, last)).otherwise(r))
+        return F.struct(d["first"].alias("first"), d["back"].alias("back"), reach.alias("reach"), here.alias("here"), out.alias("out"))
 
-    def covers(a: Column, b: Column) -> Column:
-        over = (a["first"] <= b["first"]) & (a["last"] >= b["last"])
-        wider = a["last"] - a["first"] > b["last"] - b["first"]
-        return over & ((a["priority"] > b["priority"]) | ((a["priority"] == b["priority"]) & wider))
+    def block(acc: Column, b: Column) -> Column:
+        own = F.struct(*(acc[c].alias(c) for c in ("first", "back", "reach", "here")), F.array().cast(kept).alias("out"))
+        return F.transform(F.array(F.aggregate(b, own, step)), lambda r: F.struct(*(r[c].alias(c) for c in ("first", "back", "reach", "here")), F.concat(acc["out"], r["out"]).alias("out")))[0]
 
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: covers(e, d)))
+    start = F.struct(F.lit(-1).alias("first"), F.lit(0).alias("back"), none.alias("reach"), none.alias("here"), F.array().cast(kept).alias("out"))
+    return F.aggregate(_in_blocks(F.sort_array(found)), start, block, lambda acc: acc["out"])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,6 +312,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.select("doc_id", "n_words", "held", "line", F.array(*(_positions(F.col("words"), p) for p in BASE)).alias("places"))
     tried = F.filter(table, lambda r: F.arrays_overlap(r["keywords"], F.col("held")))
     rows = rows.select("doc_id", "n_words", "places", F.when(F.col("line").isNotNull(), F.flatten(F.transform(tried, lambda r: _detections(F.col("line"), r)))).alias("found"))
+    rows = rows.withColumn("found", F.coalesce("found", F.array().cast(f"array<{HIT}>")))
     rows = rows.select("doc_id", "n_words", "places", _unsuppressed(F.col("found")).alias("detections"))
     places = F.flatten("places")
     base = F.array_sort(F.array_compact(F.array(*(F.when(F.size(F.col("places")[k]) > 0, F.lit(label)) for k, label in enumerate(BASE.values())))))
