@@ -17,25 +17,29 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from icekeel.llm._common import texts, trim
+from icekeel.llm._common import trim
 
 #: Bytes of text in a unit, of word numbers in a row, and ids in a batch that goes back to Spark.
-UNIT_BYTES, ROW_WORDS, BATCH_IDS = 16 << 20, 1 << 18, 1 << 18
+UNIT_BYTES, ROW_WORDS, BATCH_IDS = 32 << 20, 1 << 18, 1 << 18
 #: All that some library takes for white space or might drop; cuts are only made away from these.
 OTHERS = r"\x00-\x09\x0b-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 SPACES = f" \n{OTHERS}"
-OTHER = re.compile(f"[{OTHERS}]")
 #: Before a blank or a line end between two characters that are surely none, and after such a line end.
 CUT = re.compile(f"(?<=[^{SPACES}])(?=[ \n][^{SPACES}])|(?<=[^{SPACES}]\n)(?=[^{SPACES}])")
+#: Texts that only CUT splits: empty ones, those with other white space, and with blanks or line ends at an end or in a row.
+ODD = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[" + re.sub(r"\\u(\w{4})", r"\\x{\1}", OTHERS) + "]"
+#: Letters (as in a class of regexes) that stay single letters whatever a tokenizer makes of case and composition.
+LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}"
 TABLE = "dest long, unit long, kind int, seq long, ids array<long>, counts array<int>, blob binary, size long"
 
 
@@ -50,40 +54,48 @@ def tokenizer(path: str):
     return t
 
 
-class _Numbers(dict):
-    """word -> number; a new word is appended to words with a prefix."""
+def numbered(column: pa.Array, blanks: bool) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(order, words, numbers, sizes): the distinct words of texts, and each text's words by number.
 
-    def __init__(self, words: list[str], prefix: str):
-        self.words, self.prefix = words, prefix
-
-    def __missing__(self, word: str) -> int:
-        self.words.append(self.prefix + word)
-        self[word] = n = len(self.words) - 1
-        return n
-
-
-class Splitter:
-    """Numbers the words of texts. blanks: a blank belongs to the word after it, as byte-level BPE has it;
-    otherwise white space between words is dropped, as by tokenizers that ignore it."""
-
-    def __init__(self, blanks: bool):
-        self.words: list[str] = []
-        self.first, self.later, self.blanks = _Numbers(self.words, ""), _Numbers(self.words, " " if blanks else ""), blanks
-
-    def split(self, text: str) -> list[int]:
-        if not text:
-            return []
-        plain = text[0] not in " \n" and text[-1] not in " \n" and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text)
-        if not plain or OTHER.search(text):
-            return [self.first[w] for w in CUT.split(text)]
-        out: list[int] = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if k and self.blanks:
-                out.append(self.first["\n"])
-            out.append(self.first[words[0]])
-            out += map(self.later.__getitem__, words[1:])
-        return out
+    The texts come in another order: order has their places in column, sizes how many words each has.
+    blanks: a blank belongs to the word after it, as byte-level BPE has it; otherwise white space
+    between words is dropped, as by tokenizers that ignore it.
+    """
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    odd = pc.match_substring_regex(column, ODD)
+    plain = column.filter(pc.invert(odd))
+    if blanks:
+        plain = pc.replace_substring(pc.replace_substring(plain, " ", "\0 "), "\n", "\0\n\0")
+    else:
+        plain = pc.replace_substring(plain, "\n", " ")
+    lists = pc.split_pattern(plain, "\0" if blanks else " ")
+    others = [CUT.split(t) if t else [] for t in column.filter(odd).to_pylist()]
+    words = pa.concat_arrays([lists.flatten().cast(pa.large_string()), pa.array([w for ws in others for w in ws], pa.large_string())]).dictionary_encode()
+    sizes = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(ws) for ws in others], np.int64)])
+    at = odd.to_numpy(zero_copy_only=False)
+    return np.concatenate([np.flatnonzero(~at), np.flatnonzero(at)]), words.dictionary, words.indices.to_numpy().astype(np.uint32), sizes
+
+
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows (doc_id, text) with some UNIT_BYTES of text."""
+    held, size = [], 0
+    for batch in batches:
+        at = 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = min(batch.num_rows, int(np.searchsorted(ends, before + UNIT_BYTES - size)) + 1)
+            held.append(batch.slice(at, end - at))
+            size, at = size + int(ends[end - 1]) - before, end
+            if size >= UNIT_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _chunk(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks or [pa.array([], column.type)])
 
 
 def _pack(parts: list[bytes]) -> tuple[bytes, int]:
@@ -112,42 +124,34 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _numbered(blanks: bool, buckets: int):
     """docs -> rows of kind 1 (documents as word numbers, for dest unit) and kind 0 (a unit's words of one bucket, for dest bucket)."""
 
-    def flush(unit: int, s: Splitter, docs: list[tuple[int | None, list[int]]]) -> Iterator[pa.RecordBatch]:
-        if not docs:
-            return
-        sizes = np.array([len(d) for _, d in docs], np.int64)
-        flat = np.concatenate([d for _, d in docs])
-        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in s.words), np.int64, len(s.words))
+    def flush(unit: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows, words, flat, sizes = numbered(_chunk(t.column(1)), blanks)
+        ids = _chunk(t.column(0)).take(pa.array(rows))
+        raw = words.cast(pa.large_binary()).to_pylist()
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in raw), np.int64, len(raw))
         # A word's final number: its place after sorting by frequency, so that numbers are small.
-        order = np.argsort(-np.bincount(flat, minlength=len(s.words)), kind="stable")
+        order = np.argsort(-np.bincount(flat, minlength=len(raw)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         flat = rank[flat] if len(flat) else flat
-        at = start = seq = 0
-        while start < len(docs):
-            end, n = start, 0
-            while end < len(docs) and (end == start or n + sizes[end] <= ROW_WORDS):
-                n, end = n + int(sizes[end]), end + 1
-            yield _batch([(unit, unit, 1, seq, [d for d, _ in docs[start:end]], sizes[start:end].tolist(), *_pack(_planes(flat[at : at + n])))])
-            at, start, seq = at + n, end, seq + 1
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        start = seq = 0
+        while start < len(sizes):
+            end = max(start + 1, int(np.searchsorted(ends, ends[start] + ROW_WORDS, "right")) - 1)
+            yield _batch([(unit, unit, 1, seq, ids[start:end].to_pylist(), sizes[start:end].tolist(), *_pack(_planes(flat[ends[start] : ends[end]])))])
+            start, seq = end, seq + 1
         by = order[np.argsort(bucket[order], kind="stable")]
         edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
         for b in range(buckets):
             if len(own := by[edges[b] : edges[b + 1]]):
-                raw = [s.words[i].encode() for i in own]
-                yield _batch([(b, unit, 0, b, None, None, *_pack([np.array([len(own)], "<u4").tobytes(), *_planes(rank[own]), *_planes(np.array([len(w) for w in raw])), *raw]))])
+                held = [raw[i] for i in own]
+                yield _batch([(b, unit, 0, b, None, None, *_pack([np.array([len(own)], "<u4").tobytes(), *_planes(rank[own]), *_planes(np.array([len(w) for w in held])), *held]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, total, s, docs = TaskContext.get().partitionId() << 24, 0, Splitter(blanks), []
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                docs.append((doc_id, np.array(s.split(text), np.uint32)))
-                total += len(text)
-                if total >= UNIT_BYTES:
-                    yield from flush(unit, s, docs)
-                    unit, total, s, docs = unit + 1, 0, Splitter(blanks), []
-        yield from flush(unit, s, docs)
-        s = docs = None
+        first = TaskContext.get().partitionId() << 24
+        for unit, t in enumerate(units(batches), first):
+            yield from flush(unit, t)
+            t = None
         trim()
 
     return run
@@ -177,6 +181,21 @@ def _encoded(path: str):
     return run
 
 
+def _gathered(doc_ids: pa.Array, rows: np.ndarray, words: np.ndarray, table: np.ndarray, starts: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, ids) of texts with the words words[rows[k] : rows[k + 1]]; word w has the ids table[starts[w] :][: length[w]]."""
+    per = length[words]
+    edges = np.concatenate([[0], np.cumsum(per)])[rows]
+    first = 0
+    while first < len(doc_ids):
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + BATCH_IDS)) - 1)
+        part = slice(rows[first], rows[last])
+        own = per[part]
+        at = np.arange(edges[last] - edges[first]) + np.repeat(starts[words[part]] - (np.cumsum(own) - own), own)
+        lists = pa.ListArray.from_arrays(pa.array((edges[first : last + 1] - edges[first]).astype(np.int32)), pa.array(table[at]))
+        yield pa.RecordBatch.from_arrays([doc_ids[first:last], lists], ["doc_id", "ids"])
+        first = last
+
+
 def _placed(docs: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
     """One unit's documents and its words' ids -> (doc_id, ids)."""
     numbers, sizes, ids = [], [], []
@@ -191,17 +210,8 @@ def _placed(docs: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
     starts, length = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
     starts[number], length[number] = np.cumsum(size.astype(np.int64)) - size, size
     for r in docs.sort_by("seq").select(["ids", "counts", "blob", "size"]).to_pylist():
-        numbered = _from_planes(_unpack(r["blob"], r["size"]))
-        ends = np.cumsum(length[numbered])
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[numbered] - ends + length[numbered], length[numbered])
-        flat, edges = table[at], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(r["counts"])])]
-        first = 0
-        while first < len(r["ids"]):
-            last = max(first + 1, int(np.searchsorted(edges, edges[first] + BATCH_IDS)) - 1)
-            offsets = pa.array((edges[first : last + 1] - edges[first]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(flat[edges[first] : edges[last]]))
-            yield pa.RecordBatch.from_arrays([pa.array(r["ids"][first:last], pa.int64()), lists], ["doc_id", "ids"])
-            first = last
+        ends = np.concatenate([[0], np.cumsum(r["counts"])])
+        yield from _gathered(pa.array(r["ids"], pa.int64()), ends, _from_planes(_unpack(r["blob"], r["size"])), table, starts, length)
 
 
 def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
@@ -230,6 +240,96 @@ def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_i
     return rows.filter(kind >= 1).groupBy("dest").cogroup(words.groupBy("dest")).applyInArrow(unit, schema)
 
 
+def _parted(words: pa.Array, numbers: np.ndarray, rows: np.ndarray, tails: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """words, numbers and rows (as for _gathered) after what words end in of tails is parted from a letter or digit before it."""
+    stems = pc.utf8_rtrim(words, tails)
+    cut = pc.and_(pc.match_substring_regex(stems, f"[0-9{LETTERS}]$"), pc.not_equal(stems, words))
+    ends = pc.replace_substring_regex(words.filter(cut), f"(?s)^.*[^{re.escape(tails)}]", "")
+    found = pa.concat_arrays([pc.if_else(cut, stems, words), ends]).dictionary_encode()
+    index = found.indices.to_numpy().astype(np.int64)
+    first, second = index[: len(words)], np.full(len(words), -1, np.int64)
+    second[cut.to_numpy(zero_copy_only=False)] = index[len(words) :]
+    tail = second[numbers]
+    two = tail >= 0
+    places = np.concatenate([[0], np.cumsum(two + 1)])
+    out = np.empty(places[-1], np.int64)
+    out[places[:-1]] = first[numbers]
+    out[places[1:][two] - 1] = tail[two]
+    return found.dictionary, out, places[rows]
+
+
+@lru_cache(4)
+def _enders(path: str) -> np.ndarray | None:
+    """Which ids end a word, for a vocabulary that marks them."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    mark = model.get("end_of_word_suffix")
+    if not mark:
+        return None
+    ids = [i for piece, i in model["vocab"].items() if piece.endswith(mark)]
+    out = np.zeros(max(model["vocab"].values()) + 1, bool)
+    out[ids] = True
+    return out
+
+
+def _ids_of(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, starts, lengths): the ids of every word, each encoded once.
+
+    Where the vocabulary marks the ends of words, words of plain letters are encoded many at a time,
+    parted by blanks, and told apart by those marks.
+    """
+    ender, library = _enders(path), tokenizer(path)
+    plain = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False) if ender is not None else np.zeros(len(words), bool)
+    order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+    words, n = words.take(pa.array(order)), int(plain.sum())
+    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+
+    def singly(part: pa.Array) -> None:
+        found = [e.ids for e in library.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        ids.append(np.fromiter(chain.from_iterable(found), np.int32))
+
+    for at in range(0, n, 1 << 14):
+        part = words[at : min(n, at + (1 << 14))]
+        listed = part.to_pylist()
+        joined = [" ".join(listed[k : k + 256]) for k in range(0, len(listed), 256)]
+        for k, e in enumerate(library.encode_batch_fast(joined, add_special_tokens=False)):
+            flat, size = np.array(e.ids, np.int32), min(256, len(part) - 256 * k)
+            ends = np.flatnonzero(ender[np.minimum(flat, len(ender) - 1)]) + 1
+            if len(ends) == size:
+                ids.append(flat)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                singly(part[256 * k : 256 * k + size])
+    for at in range(n, len(words), 4096):
+        singly(words[at : at + 4096])
+    sizes = np.concatenate(sizes)
+    starts, lengths = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    starts[order], lengths[order] = np.cumsum(sizes) - sizes, sizes
+    return np.concatenate(ids), starts, lengths
+
+
+def encode_by_unit(docs: DataFrame, path: str, blanks: bool = True, tails: str = "", then=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
+    """encode() of docs (doc_id, text) without a shuffle: each unit encodes its own distinct words.
+
+    tails: characters in no special token that the tokenizer parts from a Latin letter or digit before them; words count without them.
+    """
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in units(batches):
+            order, words, numbers, sizes = numbered(_chunk(t.column(1)), blanks)
+            rows = np.concatenate([[0], np.cumsum(sizes)])
+            if tails:
+                words, numbers, rows = _parted(words, numbers, rows, tails)
+            yield from _gathered(_chunk(t.column(0)).take(pa.array(order)), rows, numbers, *_ids_of(words, path))
+        trim()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from then(encoded(batches)) if then else encoded(batches)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
 @lru_cache(4)
 def pieces(path: str) -> list[bytes]:
     """The bytes of every id of a byte-level vocabulary."""

@@ -50,7 +50,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.summary(token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return token_files.summary(token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), tails="!#$%*,.:;?"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,17 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import U64, materialize
-from icekeel.llm.bpe import encode
+from icekeel.llm._common import U64, materialize, sliced
+from icekeel.llm.bpe import encode_by_unit
 
 MAGIC = b"IKT1"
 #: Ids of a block at most (a longer document is a block of its own), and lanes.
 BLOCK_IDS, LANES = 1 << 21, 4096
-#: Bits of the scales of the mixed weights and of order 0, and of the table of order 2.
-MIX, ZERO, SLOTS = 16, 20, 18
+#: Bits of the scales of the mixed weights and of order 0 (32 at most together: a range has as many), and of the table of order 2.
+MIX, ZERO, SLOTS = 12, 20, 18
 TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
 END = 2
 #: Rows of a bucket, and buckets at most.
@@ -53,12 +54,12 @@ class _Model:
         now = self.last.view(U64) * U64(0x9E3779B97F4A7C15)
         self.slot = ((now ^ self.mixed) * U64(0xD6E8FEB86659FD93) >> U64(64 - SLOTS)).view(np.int64)
         self.mixed = now >> U64(17)
-        v2, v1 = self.two[self.slot], self.one[self.last]
-        self.c2, self.k2, self.c1, self.k1 = v2 >> 2, v2 & 3, v1 >> 2, v1 & 3
-        self.state = (self.k2 * 8 + self.k1 * 2 + (self.c1 == self.c2)).astype(np.int64)
+        self.v2, self.v1 = self.two.take(self.slot), self.one.take(self.last)
+        self.c2, self.c1 = self.v2 >> 2, self.v1 >> 2
+        self.state = (((self.v2 & 3) << 3) | ((self.v1 & 3) << 1) | (self.c1 == self.c2)).astype(np.int64)
         self.edges[:, 1:3] = np.cumsum(self.held[:, :2] * ((1 << MIX) - 3) // self.held.sum(axis=1, keepdims=True) + 1, axis=1)
         s = self.step
-        if s < 16 or s % 16 == 0:
+        if s < 16 or s % (16 if s < 128 else 32) == 0:
             seen = np.concatenate([[0], np.cumsum(self.counts)])
             # Every id keeps one part of the scale; the rest follows the counts.
             self.zero = seen * ((1 << ZERO) - self.n) // max(1, int(seen[-1])) + np.arange(self.n + 1) if seen[-1] else np.arange(self.n + 1) * ((1 << ZERO) // self.n)
@@ -67,14 +68,21 @@ class _Model:
 
     def learn(self, x: np.ndarray, event: np.ndarray) -> None:
         self.held += np.bincount(self.state * 3 + event, minlength=96).reshape(32, 3)
-        for table, at, guess, k in ((self.two, self.slot, self.c2, self.k2), (self.one, self.last, self.c1, self.k1)):
-            right = guess == x
-            old = guess * 4 + np.where(right, np.minimum(k + 1, 3), k - 1)
-            table[at] = np.where(right | (k > 0), old, x * 4)
+        fresh = x.astype(np.int32) << 2
+        for table, at, v in ((self.two, self.slot, self.v2), (self.one, self.last, self.v1)):
+            right = (v ^ fresh) < 4
+            right &= v >= 0
+            old = np.where(right, np.minimum(v + 1, v | 3), v - 1)
+            table[at] = np.where(right | ((v & 3) > 0), old, fresh)
         np.add.at(self.counts, x, 1)
         self.last, self.step = x, self.step + 1
 
 
+def _ready(low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Where a digit is settled, or must be settled because the range gets too narrow."""
+    return ((low ^ (low + width)) < TOP) | (width < BOTTOM)
+
+
 def _narrowed(low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """Widths cut where a range is narrow but its first digit isn't settled, so that no carry is needed."""
     narrow = ((low ^ (low + width)) >= TOP) & (width < BOTTOM)
@@ -86,49 +94,49 @@ def _lanes(n: int) -> int:
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """One block of ids (below 2 ** 19)."""
-    n = len(ids)
-    lanes, most = _lanes(n), int(ids.max(initial=0)) + 1
+    """One block of ids below 2 ** 19; a ValueError for others."""
+    n, most = len(ids), int(ids.max(initial=0)) + 1
+    if most > 1 << (ZERO - 1):
+        raise ValueError(f"ids must be below {1 << (ZERO - 1)}")
+    lanes = _lanes(n)
     steps = -(-n // lanes)
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = _Model(most, lanes)
     low, width = np.zeros(lanes, U64), np.full(lanes, U64(0xFFFFFFFFFFFFFFFF))
-    out, at = np.zeros((lanes, 2 * steps * 2 + 8), "<u2"), np.zeros(lanes, np.int64)
-    everyone = np.arange(lanes)
-
-    def put(who: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        l, w = (low, width) if len(who) == lanes else (low[who], width[who])
-        r = w >> U64(bits)
-        l, w = l + r * start.astype(U64), r * size.astype(U64)
-        k = np.flatnonzero(((l ^ (l + w)) < TOP) | (w < BOTTOM))
-        while len(k):
-            lk, wk, lane = l[k], w[k], who[k]
-            wk = _narrowed(lk, wk)
-            out[lane, at[lane]] = lk >> U64(48)
-            at[lane] += 1
-            l[k], w[k] = lk, wk = lk << U64(16), wk << U64(16)
-            k = k[((lk ^ (lk + wk)) < TOP) | (wk < BOTTOM)]
-        low[who], width[who] = l, w
-
+    # The digits of all lanes side by side: lanes are about as far as each other.
+    out, at = np.zeros((4 * steps + 8, lanes), "<u2"), np.zeros(lanes, np.int64)
     with np.errstate(over="ignore"):
-        for t in range(steps):
-            x = np.ascontiguousarray(grid[:, t])
+        for x in grid:
             model.look()
-            event = np.where(x == model.c2, 0, np.where(x == model.c1, 1, 2))
+            second, first = x == model.c2, x == model.c1
+            event = np.where(second, 0, np.where(first, 1, 2))
             edges, cell = model.edges.ravel(), model.state * 4 + event
-            a = edges[cell]
-            put(everyone, a, edges[cell + 1] - a, MIX)
-            rest = np.flatnonzero(event == 2)
-            if len(rest):
-                y = x[rest]
-                put(rest, model.zero[y], model.zero[y + 1] - model.zero[y], ZERO)
+            a = edges.take(cell)
+            r = width >> U64(MIX)
+            low += r * a.view(U64)
+            width = r * (edges.take(cell + 1) - a).view(U64)
+            # Ids that neither order predicted: their part in order 0.
+            y = model.zero.take(x)
+            r = width >> U64(ZERO)
+            rest = event == 2
+            np.copyto(low, low + r * y.astype(U64), where=rest)
+            np.copyto(width, r * (model.zero.take(x + 1) - y).astype(U64), where=rest)
+            k = np.flatnonzero(_ready(low, width))
+            while len(k):
+                lk, wk, place = low.take(k), width.take(k), at.take(k)
+                wk = _narrowed(lk, wk)
+                out[place, k] = lk >> U64(48)
+                at[k] = place + 1
+                low[k], width[k] = lk, wk = lk << U64(16), wk << U64(16)
+                k = k[_ready(lk, wk)]
             model.learn(x, event)
     for k in range(4):
-        out[everyone, at] = (low >> U64(48 - 16 * k)).astype(np.uint16)
+        out[at, np.arange(lanes)] = (low >> U64(48 - 16 * k)).astype(np.uint16)
         at += 1
-    body = b"".join([at.astype("<u4").tobytes(), *(out[i, : at[i]].tobytes() for i in range(lanes))])
+    rows = np.ascontiguousarray(out[: int(at.max(initial=0))].T)
+    body = b"".join([at.astype("<u4").tobytes(), *(rows[i, :m].tobytes() for i, m in enumerate(at.tolist()))])
     return MAGIC + struct.pack("<III", n, most, zlib.crc32(np.ascontiguousarray(ids, "<u4"))) + body
 
 
@@ -140,57 +148,48 @@ def unpack(block: bytes) -> np.ndarray:
     lanes = _lanes(n)
     steps = -(-n // lanes)
     sizes = np.frombuffer(block, "<u4", lanes, 16).astype(np.int64)
-    words = np.concatenate([np.frombuffer(block, "<u2", -1, 16 + 4 * lanes), np.zeros(8, np.uint16)]).astype(U64)
+    words = np.concatenate([np.frombuffer(block, "<u2", -1, 16 + 4 * lanes), np.zeros(8, np.uint16)])
     at = np.cumsum(sizes) - sizes
     model = _Model(most, lanes)
     low, width, code = np.zeros(lanes, U64), np.full(lanes, U64(0xFFFFFFFFFFFFFFFF)), np.zeros(lanes, U64)
     last = len(words) - 1
-    grid, everyone = np.zeros((steps, lanes), np.int64), np.arange(lanes)
-
-    def take(who: np.ndarray, find, bits: int) -> np.ndarray:
-        l, w, c = low[who], width[who], code[who]
-        r = w >> U64(bits)
-        value = np.minimum((c - l) // r, U64((1 << bits) - 1)).astype(np.int64)
-        found, start, size = find(value)
-        l, w = l + r * start.astype(U64), r * size.astype(U64)
-        k = np.flatnonzero(((l ^ (l + w)) < TOP) | (w < BOTTOM))
-        while len(k):
-            lk, wk, lane = l[k], w[k], who[k]
-            wk = _narrowed(lk, wk)
-            c[k] = (c[k] << U64(16)) | words[np.minimum(at[lane], last)]
-            at[lane] += 1
-            l[k], w[k] = lk, wk = lk << U64(16), wk << U64(16)
-            k = k[((lk ^ (lk + wk)) < TOP) | (wk < BOTTOM)]
-        low[who], width[who], code[who] = l, w, c
-        return found
-
-    with np.errstate(over="ignore"):
+    grid, lane, y = np.zeros((steps, lanes), np.uint32), np.arange(lanes), np.zeros(lanes, np.int64)
+    with np.errstate(over="ignore", divide="ignore"):
         for _ in range(4):
-            code = (code << U64(16)) | words[np.minimum(at, last)]
+            code = (code << U64(16)) | words.take(np.minimum(at, last)).astype(U64)
             at += 1
         for t in range(steps):
             model.look()
             edges, cell = model.edges.ravel(), model.state * 4
-
-            def event_of(v: np.ndarray, e: np.ndarray = edges, c: np.ndarray = cell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                k = (v >= e[c + 1]).astype(np.int64) + (v >= e[c + 2])
-                a = e[c + k]
-                return k, a, e[c + k + 1] - a
-
-            def id_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                y = np.searchsorted(model.zero, v.astype(np.int32), side="right") - 1
-                return y, model.zero[y], model.zero[y + 1] - model.zero[y]
-
-            event = take(everyone, event_of, MIX)
-            x = np.where(event == 0, model.c2, model.c1).astype(np.int64)
-            rest = np.flatnonzero(event == 2)
-            if len(rest):
-                x[rest] = take(rest, id_of, ZERO)
+            r = width >> U64(MIX)
+            v = np.minimum((code - low) // r, U64((1 << MIX) - 1)).view(np.int64)
+            event = (v >= edges.take(cell + 1)).astype(np.int64) + (v >= edges.take(cell + 2))
+            cell += event
+            a = edges.take(cell)
+            low += r * a.view(U64)
+            width = r * (edges.take(cell + 1) - a).view(U64)
+            # Order 0 for all lanes; values are looked up in order, which is far quicker.
+            r = width >> U64(ZERO)
+            v = np.sort(np.minimum((code - low) // r, U64((1 << ZERO) - 1)).view(np.int64) * LANES + lane)
+            y[v % LANES] = np.searchsorted(model.zero, (v // LANES).astype(np.int32), side="right") - 1
+            a = model.zero.take(y)
+            rest = event == 2
+            np.copyto(low, low + r * a.astype(U64), where=rest)
+            np.copyto(width, r * (model.zero.take(y + 1) - a).astype(U64), where=rest)
+            x = np.where(rest, y, np.where(event == 0, model.c2, model.c1))
             if x.min() < 0:
                 raise ValueError("a block of ids is damaged")
+            k = np.flatnonzero(_ready(low, width))
+            while len(k):
+                lk, wk, place = low.take(k), width.take(k), at.take(k)
+                wk = _narrowed(lk, wk)
+                code[k] = (code.take(k) << U64(16)) | words.take(np.minimum(place, last)).astype(U64)
+                at[k] = place + 1
+                low[k], width[k] = lk, wk = lk << U64(16), wk << U64(16)
+                k = k[_ready(lk, wk)]
             grid[t] = x
             model.learn(x, event)
-    ids = np.ascontiguousarray(grid.T).ravel()[:n].astype(np.uint32)
+    ids = np.ascontiguousarray(grid.T).ravel()[:n]
     if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != check:
         raise ValueError("a block of ids is damaged")
     return ids
@@ -204,20 +203,18 @@ def _bounds(docs: DataFrame) -> np.ndarray:
 
 
 def _dealt(bounds: np.ndarray):
-    """(doc_id, ids) -> rows with the bucket of the id and the ids in as few bytes as zstd makes of them."""
+    """(doc_id, ids) -> rows with the bucket of the id and the ids as bytes: two each where all of a batch are below 2 ** 16, else four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("ids")
-            edges, flat = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4")
-            keys, buckets, blobs, sizes = [], [], [], []
-            for k, i in enumerate(batch.column("doc_id").to_pylist()):
-                raw = np.ascontiguousarray(flat[edges[k] : edges[k + 1]].view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
-                keys.append(LEAST if i is None else i)
-                buckets.append(int(np.searchsorted(bounds, keys[-1], side="right")))
-                blobs.append(pa.compress(raw, codec="zstd", asbytes=True))
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(keys, pa.int64()), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "key", "doc_id", "size", "blob"])
+            lists, n = batch.column("ids"), batch.num_rows
+            keys = pc.fill_null(batch.column("doc_id"), LEAST).to_numpy(zero_copy_only=False)
+            flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+            width = 2 if flat.max(initial=0) < 1 << 16 else 4
+            flat = np.ascontiguousarray(flat.astype(f"<u{width}"))
+            blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(flat)])
+            buckets = np.searchsorted(bounds, keys, side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(keys), batch.column("doc_id"), pa.array(np.full(n, width, np.int32)), blobs], ["bucket", "key", "doc_id", "width", "blob"])
 
     return run
 
@@ -233,13 +230,11 @@ def _blocks(end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, block, offset, docs, held = None, 0, 0, [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             for r in batch.to_pylist():
-                raw = pa.decompress(r["blob"], decompressed_size=r["size"], codec="zstd", asbytes=True) if r["size"] else b""
-                ids = np.zeros((r["size"] // 3 + 1, 4), np.uint8)
-                ids[:-1, :3] = np.frombuffer(raw, np.uint8).reshape(3, -1).T
-                ids = ids.view("<u4").ravel()
-                ids[-1] = end
+                raw = np.frombuffer(r["blob"], f"<u{r['width']}")
+                ids = np.empty(len(raw) + 1, np.uint32)
+                ids[:-1], ids[-1] = raw, end
                 if docs and (r["bucket"] != bucket or held + len(ids) > BLOCK_IDS):
                     yield flush(bucket, block, offset, docs)
                     block, offset, docs, held = block + 1, offset + held, [], 0
@@ -253,18 +248,18 @@ def _blocks(end: int):
     return run
 
 
-def write(docs: DataFrame, path: str, end: int = END, blanks: bool = False) -> DataFrame:
+def write(docs: DataFrame, path: str, end: int = END, blanks: bool = False, tails: str = "") -> DataFrame:
     """Encodes docs with the tokenizer file at path and writes their ids, by ascending doc_id, each document ended by the id end.
 
     Returns the written table of blocks: bucket, block, first (ids before it in its bucket), doc_ids,
-    counts, payload; buckets follow each other by id. Null and empty texts have the end id alone; null
+    counts, payload; buckets follow each other by id. blanks and tails are those of bpe.encode_by_unit. Null and empty texts have the end id alone; null
     ids come first; rows that repeat an id follow each other. Other columns are ignored; an empty table gives no block.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = _bounds(docs)
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = encode(docs, path, blanks, then=_dealt(bounds), schema="bucket int, key long, doc_id long, size long, blob binary")
+    dealt = encode_by_unit(docs, path, blanks, tails, then=_dealt(bounds), schema="bucket int, key long, doc_id long, width int, blob binary")
     rows = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket", "key", "blob")
     return materialize(rows.mapInArrow(_blocks(end), "bucket int, block long, first long, doc_ids array<long>, counts array<long>, payload binary"))
 

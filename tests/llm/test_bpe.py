@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Row
 
 from icekeel.llm import bpe
@@ -20,12 +21,25 @@ def library(path: str, texts: list) -> list[list[int]]:
 
 
 def test_splits_encode_alike():
+    all_texts = [*odd_texts(), None, "two lines\nof plain words", "one", "a b\nc d\ne"]
     for path, blanks in ((BYTE, True), (WORD, False)):
-        for text in odd_texts():
-            s = bpe.Splitter(blanks)
-            numbers = s.split(text)
-            ids = [i for n in numbers for i in bpe.tokenizer(path).encode(s.words[n], add_special_tokens=False).ids]
-            assert ids == library(path, [text])[0], repr(text)
+        want = library(path, all_texts)
+        order, words, numbers, sizes = bpe.numbered(pa.array(all_texts), blanks)
+        words = words.to_pylist()
+        assert sorted(order) == list(range(len(all_texts))) and sizes.sum() == len(numbers) and len(set(words)) == len(words)
+        ids, at = library(path, words), 0
+        for i, n in zip(order, sizes, strict=True):
+            assert [x for w in numbers[at : at + n] for x in ids[w]] == want[i], repr(all_texts[i])
+            at += n
+
+
+def test_units_cover_all_rows(monkeypatch):
+    monkeypatch.setattr(bpe, "UNIT_BYTES", 10)
+    rows = [(k, "x" * (k * 7 % 23) if k % 5 else None) for k in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows[a:b]]), pa.array([t for _, t in rows[a:b]], pa.string())], ["doc_id", "text"]) for a, b in ((0, 1), (1, 1), (1, 33), (33, 60))]
+    got = list(bpe.units(iter(batches)))
+    assert [tuple(r.values()) for t in got for r in t.to_pylist()] == rows
+    assert all(sum(len(x or "") for x in t.column("text").to_pylist()[:-1]) < 10 for t in got) and len(got) > 20
 
 
 def test_pieces_decode_alike():
@@ -53,6 +67,18 @@ def test_units_and_batches_split(spark, monkeypatch):
     texts = ["a b c", "d " * 50 + "e", "", "x y"] * 5
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [r.ids for r in bpe.encode(docs, BYTE).orderBy("doc_id").collect()] == library(BYTE, texts)
+    monkeypatch.setattr(bpe, "BATCH_IDS", 7)
+    for path, blanks in ((BYTE, True), (WORD, False)):
+        assert [r.ids for r in bpe.encode_by_unit(docs, path, blanks).orderBy("doc_id").collect()] == library(path, texts)
+
+
+def test_tails_are_parted(spark):
+    r = random.Random(8)
+    parts = ["a", "Word", "Straße", "ÀÉÿ", "ªº", "é", "\u0301", "漢", "12", "½", "²", "Ⅷ", "'s", "_", "-", ",", ".", "?!", "#*", "%", "$", ":;", "<|endoftext|>", "…"]
+    texts = ["", ",", *(" ".join("".join(r.choices(parts, k=r.randint(1, 5))) for _ in range(r.randint(1, 30))) for _ in range(300))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.ids for r in bpe.encode_by_unit(docs, WORD, False, "!#$%*,.:;?").orderBy("doc_id").collect()]
+    assert got == library(WORD, texts)
 
 
 def test_empty_table_and_null_ids(spark):
