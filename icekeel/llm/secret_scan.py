@@ -1,20 +1,23 @@
 """Secret scans: base patterns, and Markov models of random strings against ordinary identifiers.
 
-Two first-order character models, one trained on random strings and one on ordinary identifiers,
-score every long run of key-like characters. A run whose log-likelihood ratio per character is
-over THRESHOLD, and that mixes letters and digits, is a secret of kind "markov". Of other runs,
-the stretches of LEAST characters or more that are so are: keys glued to names or paths.
+Two second-order character models, one trained on random strings and one on ordinary identifiers (names, paths,
+dates, identifiers and digests in hexadecimal, encoded words), score every long run of key-like characters. A run whose
+log-likelihood ratio per character is over THRESHOLD, and that mixes letters with digits or small letters with
+capitals, is a secret of kind "markov". Of other runs, the stretches of LEAST characters or
+more that are so are: keys glued to names or paths.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import math
 import random
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST = 20
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Nats per character by which a run must be likelier under the random model.
-THRESHOLD = 0.6
+THRESHOLD = 1.0
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Stems of ordinary identifiers.
 STEMS = (
@@ -46,93 +49,169 @@ STEMS = (
     "resource response result schedule schema search section security selection sequence server service session "
     "settings shipping snapshot source statement status storage stream string structure subscription summary system "
     "table target template thread timeout timestamp transaction transform update upload user utility validation value "
-    "variable vector version view window worker writer"
+    "variable vector version view window worker writer "
+    "add all and any api app bit by class code cpu css data day db dir do doc end env file first for from get group has hash host html http id in "
+    "init is item job json key last line link list local lock log main make map max menu min mode name new next node not null of on open or os "
+    "page part path pdf port put read role root row rule run set size slot sort sql ssl start state step stop sub sync tag task test text time to "
+    "top tree true type unit uri url use utf var web with write xml year zip zone"
 ).split()
 
 
-def labelled_samples(seed: int = 7, n: int = 3000) -> Iterator[tuple[str, int]]:
-    """(string, label) samples: 1 for random strings, 0 for ordinary identifiers, paths and rules of dashes."""
+UPPER, LOWER, DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+#: Alphabets of random strings, and what some keys begin with.
+ALPHABETS = (UPPER + LOWER + DIGITS, UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_", UPPER + "234567", LOWER + DIGITS, UPPER + DIGITS, UPPER + LOWER)
+PREFIXES = ("", "", "", "sk_live_", "ghp_", "glpat-", "xoxb-{}-{}-", "AIza", "key-", "npm_", "SG-")
+
+
+def _ordinary(r: random.Random, kind: int) -> str:
+    """An ordinary string of one of 18 kinds."""
+    words = [r.choice(STEMS) for _ in range(r.randint(2, 6))]
+    number = str(r.randint(0, 2030))
+    hexes = lambda n: f"{r.getrandbits(4 * n):0{n}x}"
+    if kind < 6:
+        joined = ("_".join(words), "-".join(words), "".join(w.title() for w in words), "/".join(words), "".join(words), "_".join(words).upper())[kind]
+        return joined + (number if r.random() < 0.5 else "")
+    if kind == 6:
+        return "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+    if kind == 7:
+        return f"{r.choice(words)}-" + "-".join(hexes(n) for n in (8, 4, 4, 4, 12))
+    if kind == 8:
+        return f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}T{r.randint(0, 23):02}-{r.randint(0, 59):02}-{r.randint(0, 59):02}Z"
+    if kind == 9:
+        return hexes(r.choice((32, 40, 64))).upper() if r.random() < 0.5 else f"sha256-{hexes(40)}"
+    if kind == 10:
+        return base64.b64encode(" ".join(words).encode()).decode()
+    if kind == 11:
+        return "/".join([*words, f"v{r.randint(1, 9)}", f"{r.choice(STEMS)}-{number}-{r.randint(0, 99)}"])
+    if kind == 12:
+        return "=".join([*words[:2], number]) + "_" + "=".join(words[2:4])
+    if kind == 13:
+        return "".join(r.choice((w, w.title(), w.upper(), w[:3], w[0])) + r.choice(("", "", "_", str(r.randint(0, 9)))) for w in [*words, *words])
+    if kind == 14:
+        return "-".join(str(r.randint(0, 9999)) for _ in range(r.randint(4, 9)))
+    if kind == 15:
+        name = r.choice((r.choice(words).title(), r.choice(words)[:3].upper(), r.choice(words).title() + r.choice(words)[:3].upper(), r.choice(words)))
+        version = r.choice("_-").join(str(r.randint(0, 20)) for _ in range(r.randint(2, 4))) + r.choice(("", "a", "b", "k", "rc1"))
+        return f"{name}_{version}-{r.choice(words)}_{r.randint(1, 31)}_{r.choice(words)[:3].title()}_{r.randint(1990, 2030)}"
+    if kind == 16:
+        return f"{r.choice(words)[:3].upper()}_{r.randint(1990, 2030)}{r.randint(1, 12):02}{r.randint(1, 28):02}_{r.randint(0, 235959):06}_{'_'.join(words[:2])}"
+    return r.choice("-=_+/") * r.randint(20, 80)
+
+
+def labelled_samples(seed: int = 7, n: int = 12_000) -> Iterator[tuple[str, int]]:
+    """(string, label) samples: 1 for random strings, 0 for ordinary ones."""
     r = random.Random(seed)
-    alphabets = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALPHABET[:62], ALPHABET[:64])
     for i in range(n):
-        yield "".join(r.choices(alphabets[i % 4], k=r.randint(20, 64))), 1
-        words = [r.choice(STEMS) for _ in range(r.randint(2, 6))]
-        joined = ("_".join(words), "-".join(words), "".join(w.title() for w in words), "/".join(words), "".join(words), "_".join(words).upper())[i % 6]
-        yield joined + (str(r.randint(0, 2030)) if r.random() < 0.5 else ""), 0
-        if i % 10 == 0:
-            yield r.choice("-=_+/") * r.randint(20, 80), 0
-            yield "-".join(str(r.randint(1, 31)).zfill(2) for _ in range(8)), 0
+        number = r.randint(10**9, 10**12)
+        yield r.choice(PREFIXES).format(number, number + r.randint(1, 10**9)) + "".join(r.choices(ALPHABETS[i % len(ALPHABETS)], k=r.randint(20, 64))), 1
+        yield _ordinary(r, i % 18), 0
+
+
+PLACE = {c: k for k, c in enumerate(ALPHABET)}
+START = len(ALPHABET)
 
 
 class Markov:
-    """A first-order character model with add-one-half smoothing."""
+    """A second-order character model; pairs that are rare lean on the single character before, and that on all."""
 
     def __init__(self, strings: Iterable[str]):
-        counts = {a: dict.fromkeys(ALPHABET, 0.5) for a in "^" + ALPHABET}
+        n = len(ALPHABET)
+        three, two, one = np.zeros((n + 1, n + 1, n)), np.zeros((n + 1, n)), np.ones(n)
         for s in strings:
-            for a, b in zip("^" + s, s, strict=False):
-                counts[a][b] += 1
-        self.logs = {a: {b: math.log(n / sum(row.values())) for b, n in row.items()} for a, row in counts.items()}
-
-    def score(self, s: str) -> float:
-        return sum(self.logs[a][b] for a, b in zip("^" + s, s, strict=False))
+            a = b = START
+            for c in map(PLACE.__getitem__, s):
+                three[a, b, c] += 1
+                two[b, c] += 1
+                one[c] += 1
+                a, b = b, c
+        p1 = one / one.sum()
+        p2 = (two + 4 * p1) / (two.sum(axis=1, keepdims=True) + 4)
+        p3 = (three + 8 * p2[None]) / (three.sum(axis=2, keepdims=True) + 8)
+        self.logs = np.log(p3)
 
 
 @lru_cache(1)
-def models() -> tuple[Markov, Markov]:
+def steps() -> list[list[list[float]]]:
+    """The log-likelihood ratio of each character after each two, random over ordinary."""
     samples = list(labelled_samples())
-    return tuple(Markov(s for s, y in samples if y == label) for label in (1, 0))
+    rand, plain = (Markov(s for s, y in samples if y == label) for label in (1, 0))
+    return (rand.logs - plain.logs).tolist()
+
+
+def ratios(s: str) -> list[float]:
+    """The log-likelihood ratio of each character of a run."""
+    by, a, b, out = steps(), START, START, []
+    for c in map(PLACE.__getitem__, s):
+        out.append(by[a][b][c])
+        a, b = b, c
+    return out
 
 
 def ratio(s: str) -> float:
     """Log-likelihood ratio per character, random over ordinary."""
-    rand, plain = models()
-    return (rand.score(s) - plain.score(s)) / len(s)
+    return sum(ratios(s)) / len(s)
 
 
-@lru_cache(1)
-def steps() -> dict[str, dict[str, float]]:
-    """The log-likelihood ratio of each character after each other one."""
-    rand, plain = models()
-    return {a: {b: x - plain.logs[a][b] for b, x in row.items()} for a, row in rand.logs.items()}
+def mixed(s: str) -> bool:
+    """Whether a string mixes letters with digits, or goes from small letters to capitals often, as words joined together don't."""
+    turns = sum(a.islower() and b.isupper() for a, b in zip(s, s[1:], strict=False))
+    return turns >= 3 or any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
-def random_like(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and ratio(s) > THRESHOLD
+def _peaks(scores: list[float]) -> list[tuple[int, int]]:
+    """All maximal stretches by their sums of scores, disjoint, in one pass (after Ruzzo and Tompa)."""
+    held: list[tuple[float, float, int, int]] = []  # sum before, sum with it, start, end
+    total = 0.0
+    for i, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        start, low = i, before
+        while held:
+            k = len(held) - 1
+            while k >= 0 and held[k][0] >= low:
+                k -= 1
+            if k < 0 or held[k][1] >= total:
+                break
+            low, start = held[k][0], held[k][2]
+            del held[k:]
+        held.append((low, total, start, i + 1))
+    return [(a, b) for _, _, a, b in held]
 
 
 def stretches(s: str) -> list[tuple[int, int]]:
     """(start, end) of what is random-like in a run: all of it, or else disjoint stretches of LEAST characters or more.
 
-    The stretch of the highest sum of ratios is judged as it extends to the next = / _ - + on either
-    side, then as it is; so are, in turn, what lies before and behind it.
+    Every stretch of a maximal sum of ratios is judged as it extends to the next = / _ - + on either
+    side, without ordinary words at its ends, then as it is.
     """
-    if random_like(s):
+    by = ratios(s)
+    sums = [0.0, *accumulate(by)]
+
+    def random_like(a: int, b: int) -> bool:
+        return b - a >= LEAST and sums[b] - sums[a] > THRESHOLD * (b - a) and mixed(s[a:b])
+
+    if random_like(0, len(s)):
         return [(0, len(s))]
-    out, todo, by = [], [(0, len(s))], steps()
-    while todo:
-        low, high = todo.pop()
-        if high - low < LEAST:
-            continue
-        best, total, a, b, start = 0.0, 0.0, low, low, low
-        for i in range(low, high):
-            total += by[s[i - 1] if i else "^"][s[i]]
-            if total > best:
-                best, a, b = total, start, i + 1
-            elif total <= 0:
-                total, start = 0.0, i + 1
-        if a == b:
+    out, low = [], 0
+    for a, b in _peaks(by):
+        if b - a < LEAST // 2 or b <= low:
             continue
-        c, d = a, b
+        c, d = max(a, low), b
         while c > low and s[c - 1] not in "=/_-+":
             c -= 1
-        while d < high and s[d] not in "=/_-+":
+        while d < len(s) and s[d] not in "=/_-+":
             d += 1
-        found = next(((x, y) for x, y in ((c, d), (a, b)) if y - x >= LEAST and random_like(s[x:y])), None)
-        out += [found] if found else []
-        a, b = found or (a, b)
-        todo += [(low, a), (b, high)]
-    return sorted(out)
+        # Words at its ends that are ordinary by themselves aren't in it.
+        while (cut := next((i for i in range(c, min(d, b)) if s[i] in "=/_-+"), 0)) and sums[cut] <= sums[c]:
+            c = cut + 1
+        while (cut := next((i for i in range(d - 1, c, -1) if s[i] in "=/_-+"), 0)) and sums[d] <= sums[cut + 1]:
+            d = cut
+        found = next(((x, y) for x, y in ((c, d), (max(a, low), b)) if random_like(x, y)), None)
+        if found:
+            out.append(found)
+            low = found[1]
+    return out
 
 
 def secrets(text: str) -> list[tuple[int, int, str]]:
@@ -146,7 +225,7 @@ def secrets(text: str) -> list[tuple[int, int, str]]:
     for m in RUN.finditer(text):
         s = m[0]
         out += [(m.start() + h.start(), m.start() + h.end(), "hex") for h in HEX.finditer(s)]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
+        if mixed(s):
             for c, d in ((m.start() + c, m.start() + d) for c, d in stretches(s)):
                 if not any(a <= c and d <= b for a, b, k in out if k != "markov"):
                     out.append((c, d, "markov"))
