@@ -26,7 +26,7 @@ from icekeel.llm.bpe import encode_by_unit
 
 MAGIC = b"IKT1"
 #: Ids of a block at most (a longer document is a block of its own), and lanes.
-BLOCK_IDS, LANES = 1 << 21, 4096
+BLOCK_IDS, LANES = 1 << 22, 8192
 #: Bits of the scales of the mixed weights and of order 0 (32 at most together: a range has as many), and of the table of order 2.
 MIX, ZERO, SLOTS = 12, 20, 18
 TOP, BOTTOM = U64(1 << 48), U64(1 << 32)
