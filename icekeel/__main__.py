@@ -8,19 +8,21 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from icekeel.functions.paths import memory_bytes
 from icekeel.plans.config import parse
 from icekeel.plans.maintenance import Maintainer
 from icekeel.plans.scheduler import Scheduler
-from icekeel.sources.catalog import FileCatalog, rest
-from icekeel.sources.store import Store
+from icekeel.sources.catalog import opened
+from icekeel.sources.store import Store, configure
 
 
 def main(path: str, root: str = "") -> None:
     config = parse(Path(path).read_text())
     spark = SparkSession.builder.appName("icekeel").config("spark.scheduler.mode", "FAIR").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    store, c = Store(spark), config.catalog
-    catalog = FileCatalog(store, root or c.get("url", "")) if c["type"] == "filesystem" else rest(c["type"], c["url"], **(c.get("credential") or {}))
-    scheduler = Scheduler(config, Maintainer(spark, catalog, store, config.scheduler.retry))
+    configure(spark, config.storage)
+    store = Store(spark)
+    maintainer = Maintainer(spark, opened(config.catalog, store, root), store, config.scheduler.retry, memory_limit=memory_bytes(config.scheduler.memory_limit))
+    scheduler = Scheduler(config, maintainer)
     for s in (signal.SIGTERM, signal.SIGINT):
         signal.signal(s, scheduler.stop)
     if config.scheduler.metrics_addr:

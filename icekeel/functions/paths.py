@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What column names and memory limits look like.
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 MEMORY = re.compile(r"[0-9]+(\.[0-9]+)?\s*(B|KB|MB|GB|TB)")
 
@@ -55,6 +56,17 @@ def checked_identifier(name: str) -> str:
     return name
 
 
+def identifier_like(name: Column | str) -> Column:
+    """checked_identifier() of a column: whether it is a column name."""
+    return F.regexp_like(name, F.lit(f"^(?:{IDENTIFIER.pattern})$"))
+
+
+def memory_bytes(limit: str) -> int:
+    """The bytes of a memory limit such as 1.5 GB, in powers of 1000."""
+    number, unit = re.fullmatch(r"([0-9.]+)\s*(\w+)", checked_memory(limit)).groups()
+    return int(float(number) * 1000 ** ("B", "KB", "MB", "GB", "TB").index(unit))
+
+
 def checked_memory(limit: str) -> str:
     if not MEMORY.fullmatch(limit):
         raise ValueError(f"not a memory limit: {limit!r}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,9 +33,11 @@ def expired(snapshots: DataFrame, current: int, cutoff: Column, min_keep: int) -
     many are retained as are needed to keep min_keep in all, and the rest expire.
     """
     free = snapshots.join(ancestors(snapshots, current).select("id"), "id", "left_anti").filter(F.col("ts") < cutoff)
-    ranked = free.withColumn("rn", F.row_number().over(Window.orderBy("ts", "id"))).withColumn("n", F.count("*").over(Window.partitionBy(F.lit(1))))
-    total = snapshots.agg(F.count("*").alias("total"))
-    return ranked.join(F.broadcast(total)).filter(F.col("rn") > F.greatest(F.lit(min_keep) - (F.col("total") - F.col("n")), F.lit(0))).select(F.col("id").alias("snapshot_id"))
+    # One table's metadata: an array in order, of which the end expires.
+    total = snapshots.count()
+    ordered = free.agg(F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("s"))
+    spared = F.greatest(F.lit(min_keep) - (F.lit(total) - F.size("s")), F.lit(0))
+    return ordered.select(F.explode(F.slice("s", spared + 1, F.greatest(F.size("s") - spared, F.lit(0)))).alias("s")).select(F.col("s.id").alias("snapshot_id"))
 
 
 def exclusive_manifests(owners: DataFrame, expired_ids: Column) -> DataFrame:

@@ -3,34 +3,44 @@
 from __future__ import annotations
 
 import json
+import platform
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta, timezone
+from itertools import chain, groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icekeel.functions.morton import zorder
 from icekeel.operators import compaction, expiry, orphans
 from icekeel.plans.config import Policy, Retry, enabled, seconds
 from icekeel.plans.retry import Conflict, recoverable, retried
-from icekeel.plans.tables import DeletesPresent, TableFiles, current_files, has_deletes, live_paths, new_snapshot_id, plain, write_list, write_manifest
+from icekeel.plans.tables import DeletesPresent, TableFiles, current_files, has_deletes, holders, kept_entry, live_paths, new_snapshot_id, plain, write_list, write_manifest
 from icekeel.sources import avro_ocf, parquet
 from icekeel.sources.catalog import Catalog, TableId, Transaction, current_snapshot
+from icekeel.sources.scratch import materialize
 from icekeel.sources.store import Store
 
 PENDING, UPLOADED, COMMITTED = "pending", "uploaded", "snapshot_committed"
 JOURNAL = ".icekeel/recovery"
 #: How often a job that lost its executors is tried again in halves.
 MOST_SPLITS = 4
+#: Bytes in memory for each byte of a Parquet file.
+SWELL = 4
+#: Hours after which a pending job of another process counts as broken off.
+STALE_HOURS = 24
 
 
 class InputsGone(Exception):
     """Files that a job has merged are no longer part of the table."""
 
 
+class MixedPartitions(InputsGone):
+    """A job's inputs have different partition values, which one file can't have."""
+
+
 @dataclass
 class Candidate:
     partition_dir: str
@@ -74,6 +84,10 @@ class Maintainer:
     store: Store
     retry: Retry = field(default_factory=Retry)
     eager_delete: bool = False
+    #: Bytes that a task of a job may sort, 0 for no limit.
+    memory_limit: int = 0
+    #: Names this process in journals.
+    owner: str = field(default_factory=lambda: f"{platform.node()}-{uuid.uuid4()}")
     sleep: Callable[[float], None] = time.sleep
 
     def _retried(self, f):
@@ -81,37 +95,44 @@ class Maintainer:
 
     # Compaction
 
-    def find_candidates(self, table: TableId, policy: Policy, now: datetime) -> list[Candidate]:
-        """Directories with enough small old files; the plan is one DataFrame, its result a table's worth of paths."""
+    def candidates(self, table: TableId, policy: Policy, now: datetime) -> Iterator[Candidate]:
+        """Directories with enough small old files, one after the other: the driver holds the paths of one directory."""
         p = policy.compaction
         compaction.checked_strategy(p.strategy or "", list(p.sort_keys or ()), list(p.z_order_columns or ()))
         if not enabled(p):
-            return []
+            return
         meta = self.catalog.load(table)
         if not current_snapshot(meta):
-            return []
+            return
         cutoff = F.lit(now - timedelta(minutes=p.min_file_age_minutes))
         target = p.target_file_size_mb << 20 if p.target_file_size_mb else None
         chosen = compaction.candidate_files(current_files(self.spark, meta), cutoff, p.min_file_count, target)
-        out: dict[str, Candidate] = {}
-        for r in chosen.select("partition_dir", "file_path", "size_bytes").orderBy("partition_dir", "file_path").collect():
-            out.setdefault(r.partition_dir, Candidate(r.partition_dir, [])).files.append((r.file_path, r.size_bytes))
-        return list(out.values())
+        rows = chosen.select("partition_dir", "file_path", "size_bytes").orderBy("partition_dir", "file_path").toLocalIterator()
+        for name, own in groupby(rows, key=lambda r: r.partition_dir):
+            yield Candidate(name, [(r.file_path, r.size_bytes) for r in own])
+
+    def find_candidates(self, table: TableId, policy: Policy, now: datetime) -> list[Candidate]:
+        return list(self.candidates(table, policy, now))
 
     def _rewrite(self, candidate: Candidate, policy: Policy, job: str) -> list[str]:
-        """Writes the candidate's rows into files of the target size beside their sources; returns their paths."""
+        """Writes the candidate's rows into files of the target size beside their sources; returns their paths.
+
+        binpack: files go whole into bins of the target size, a written file for each. Sorted layouts have as many files
+        as the target size asks, and so many at least that what a task sorts stays within the memory limit.
+        """
         p, staging = policy.compaction, f"{candidate.partition_dir}/.{job}"
-        df = parquet.read_by_name(self.spark, [f for f, _ in candidate.files])
         target, total = (p.target_file_size_mb or 0) << 20, sum(n for _, n in candidate.files)
-        files = max(1, round(total / target)) if target else 1
         if (p.strategy or "binpack") == "binpack":
             bins, at = {}, 0
             for path, n in candidate.files:
                 bins[path], at = (at // target if target else 0), at + n
-            out = df.coalesce(1) if len(set(bins.values())) == 1 else df.coalesce(len(set(bins.values())))
+            parquet.write_bins(self.spark, bins, staging)
         else:
-            out = compaction.laid_out(df, p.strategy, list(p.sort_keys or ()), list(p.z_order_columns or ()), files)
-        parquet.write(out, staging)
+            files = max(1, round(total / target)) if target else 1
+            if self.memory_limit:
+                files = max(files, -(-total * SWELL // self.memory_limit))
+            df = parquet.read_by_name(self.spark, [f for f, _ in candidate.files])
+            parquet.write(compaction.laid_out(df, p.strategy, list(p.sort_keys or ()), list(p.z_order_columns or ()), files), staging)
         parts = sorted(path for path, *_ in self.store.rows(staging) if path.endswith(".parquet"))
         moved = []
         for k, part in enumerate(parts):
@@ -140,24 +161,32 @@ class Maintainer:
                 return
             if not snap:
                 raise InputsGone(str(table))
-            old, lists, gone, rest = set(inputs), list(avro_ocf.decode(self.store.read(snap["manifest-list"]))), set(), []
+            # Tasks find the manifests that hold inputs; the driver opens only those.
+            old, gone, rest, model, part = set(inputs), set(), [], None, []
+            held = {parquet.plain_path(m) for m in holders(self.spark, snap, inputs)} if inputs else set()
+            listed = avro_ocf.container(self.store.read(snap["manifest-list"]))
             sequence = (meta.get("last-sequence-number") or 0) + 1
-            for m in lists:
-                rows = [r for r in avro_ocf.decode(self.store.read(m["manifest_path"])) if r["status"] != 2]
-                hit = {r["data_file"]["file_path"] for r in rows} & old if m["content"] == 0 else set()
-                if not hit:
+            for m in listed.rows:
+                if parquet.plain_path(m["manifest_path"]) not in held:
                     rest.append(m)
                     continue
-                gone |= hit
-                kept = [r | {"status": 0, "snapshot_id": r["snapshot_id"] or m["added_snapshot_id"]} for r in rows if r["data_file"]["file_path"] not in old]
-                if kept:
-                    rest.append(write_manifest(self.store, meta["location"], kept, sequence, snapshot_id))
+                opened = avro_ocf.container(self.store.read(m["manifest_path"]))
+                rows = [r for r in opened.rows if r["status"] != 2]
+                mine = [r["data_file"] for r in rows if r["data_file"]["file_path"] in old]
+                gone |= {f["file_path"] for f in mine}
+                part += [f.get("partition") for f in mine]
+                model = model or (opened, m)
+                if m["partition_spec_id"] != model[1]["partition_spec_id"] or any(x != part[0] for x in part):
+                    raise MixedPartitions(f"{table}: files of one folder lie in several partitions")
+                if kept := [kept_entry(r, m) for r in rows if r["data_file"]["file_path"] not in old]:
+                    rest.append(write_manifest(self.store, meta["location"], kept, sequence, snapshot_id, opened, m))
             if gone != old:
                 raise InputsGone(", ".join(sorted(old - gone)[:5]))
-            new = write_manifest(self.store, meta["location"], [{"status": 1, "snapshot_id": snapshot_id, "data_file": f} for f in outputs], sequence, snapshot_id)
+            added = [{"status": 1, "snapshot_id": snapshot_id, "data_file": ({"partition": part[0]} if part and part[0] is not None else {}) | f} for f in outputs]
+            new = write_manifest(self.store, meta["location"], added, sequence, snapshot_id, *(model or ()))
             snapshot = {
                 "snapshot-id": snapshot_id, "parent-snapshot-id": snap["snapshot-id"], "sequence-number": sequence, "timestamp-ms": int(now.timestamp() * 1000),
-                "manifest-list": write_list(self.store, meta["location"], [*rest, new], snapshot_id), "summary": {"operation": "replace"},
+                "manifest-list": write_list(self.store, meta["location"], [*rest, new], snapshot_id, listed), "summary": {"operation": "replace"},
             }
             self.catalog.commit(table, Transaction().current_is(snap["snapshot-id"]).add(snapshot))
 
@@ -178,7 +207,7 @@ class Maintainer:
             raise DeletesPresent(str(table))
         job, sid = f"compact-{uuid.uuid4()}", new_snapshot_id(meta)
         inputs = [f for f, _ in candidate.files]
-        entry = {"job_id": job, "table": str(table), "input_files": inputs, "output_files": [], "parent_snapshot_id": meta.get("current-snapshot-id"), "new_snapshot_id": sid, "state": PENDING, "created_at": now.astimezone(timezone.utc).isoformat()}
+        entry = {"job_id": job, "owner": self.owner, "table": str(table), "input_files": inputs, "output_files": [], "parent_snapshot_id": meta.get("current-snapshot-id"), "new_snapshot_id": sid, "state": PENDING, "created_at": now.astimezone(timezone.utc).isoformat()}
         journal = self._journal(meta["location"], job, entry)
         try:
             paths = self._rewrite(candidate, policy, job)
@@ -205,12 +234,19 @@ class Maintainer:
         return CompactionResult(inputs, paths, sum(n for _, n in candidate.files), sum(f["file_size_in_bytes"] for f in outputs), time.monotonic() - began)
 
     def recover(self, table: TableId, now: datetime) -> dict[str, str]:
-        """Finishes or drops jobs that broke off: job id -> what was done."""
+        """Finishes or drops jobs that broke off: job id -> what was done.
+
+        A journal of another process, which may be at work still, is left alone until it is STALE_HOURS old.
+        """
         location, done = self.catalog.load(table)["location"], {}
+        fresh = (now - timedelta(hours=STALE_HOURS)).astimezone(timezone.utc).isoformat()
         for path, *_ in list(self.store.rows(f"{location.rstrip('/')}/{JOURNAL}")):
             if not path.endswith(".json"):
                 continue
             e = json.loads(self.store.read(path))
+            if e.get("owner") not in (None, self.owner) and e.get("created_at", "") > fresh:
+                done[e["job_id"]] = "left"
+                continue
             if e["state"] == PENDING:
                 done[e["job_id"]] = "dropped"
             elif e["state"] == UPLOADED:
@@ -271,11 +307,12 @@ class Maintainer:
             return ExpiryResult()
         try:
             lists, manifests, files = self.garbage(state["before"], self.catalog.load(table), ids)
-            paths, data = [r[0] for r in manifests.collect()], [r[0] for r in files.collect()]
+            # Written before anything goes: what is read can't change under the plan, and needn't fit the driver.
+            paths, data = materialize(manifests), materialize(files)
         except Exception as e:  # metadata that can't be read: nothing is deleted
             return ExpiryResult(ids, failed=[str(e)[:200]])
-        n_data, bad = self.store.delete_all(data)
-        n_meta, worse = self.store.delete_all([*lists, *paths])
+        n_data, bad = self.store.delete_all(r[0] for r in data.toLocalIterator())
+        n_meta, worse = self.store.delete_all(chain(lists, (r[0] for r in paths.toLocalIterator())))
         return ExpiryResult(ids, n_meta, n_data, bad + worse)
 
     # Orphans
@@ -288,13 +325,9 @@ class Maintainer:
         meta = self.catalog.load(table)
         live = live_paths(self.spark, meta).select(plain("p").alias("p"))
         listing = self.store.listing(meta["location"]).filter(~F.contains("path", F.lit(f"/{JOURNAL}/"))).select(plain("path").alias("p"), "mtime", "path")
-        marked = orphans.dispositions(listing, live, F.lit(now - timedelta(hours=p.grace_period_hours))).cache()
-        try:
-            counts = {r.disposition: r["count"] for r in marked.groupBy("disposition").count().collect()}
-            doomed = [r.path for r in marked.filter("disposition = 'deleted'").select("path").toLocalIterator()]
-        finally:
-            marked.unpersist()
-        deleted, failed = self.store.delete_all(doomed)
+        marked = materialize(orphans.dispositions(listing, live, F.lit(now - timedelta(hours=p.grace_period_hours))))
+        counts = {r.disposition: r["count"] for r in marked.groupBy("disposition").count().collect()}
+        deleted, failed = self.store.delete_all(r.path for r in marked.filter("disposition = 'deleted'").select("path").toLocalIterator())
         return OrphanResult(sum(counts.values()), deleted, counts.get("skipped", 0), failed)
 
 
@@ -302,4 +335,4 @@ def as_json(result: CompactionResult | ExpiryResult | OrphanResult) -> str:
     return json.dumps(asdict(result))
 
 
-__all__ = ["Candidate", "CompactionResult", "Conflict", "ExpiryResult", "InputsGone", "Maintainer", "OrphanResult", "as_json"]
+__all__ = ["Candidate", "CompactionResult", "Conflict", "ExpiryResult", "InputsGone", "Maintainer", "MixedPartitions", "OrphanResult", "as_json"]

@@ -59,11 +59,14 @@ class Scheduler:
 
     def _compaction(self, table: TableId, policy: Policy, now: datetime) -> dict | None:
         total, jobs, errors = CompactionResult(), 0, 0
-        try:
-            found = self.maintainer.find_candidates(table, policy, now)
-        except Exception as e:
-            return {"jobs": 0, "files_merged": 0, "bytes_before": 0, "bytes_after": 0, "errors": 1, "error": str(e)[:500]}
-        for candidate in found:
+        found = iter(self.maintainer.candidates(table, policy, now))
+        while True:
+            try:
+                candidate = next(found, None)
+            except Exception as e:
+                return {"jobs": jobs, "files_merged": len(total.inputs), "bytes_before": total.bytes_before, "bytes_after": total.bytes_after, "errors": errors + 1, "error": str(e)[:500]}
+            if candidate is None:
+                break
             began = time.monotonic()
             try:
                 r = self.maintainer.compact(table, candidate, policy, now)

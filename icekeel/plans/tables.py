@@ -55,6 +55,14 @@ def current_files(spark: SparkSession, meta: dict) -> DataFrame:
     return aged.select("file_path", F.col("file_size_in_bytes").alias("size_bytes"), "record_count", "added_at", "manifest_path")
 
 
+def holders(spark: SparkSession, snapshot: dict, paths: list[str]) -> set[str]:
+    """The data manifests of a snapshot whose live entries name one of paths; manifests are read by tasks."""
+    files = TableFiles(spark, [snapshot])
+    entries = files.entries(metadata.data_manifests(files.owners()))
+    wanted = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    return {r[0] for r in entries.join(wanted, "file_path", "left_semi").select("manifest_path").distinct().collect()}  # one job's inputs at most
+
+
 def has_deletes(spark: SparkSession, meta: dict) -> bool:
     snap = current_snapshot(meta)
     return bool(snap) and bool(TableFiles(spark, [snap]).owners().filter("content = 1").take(1))
@@ -76,29 +84,48 @@ def new_snapshot_id(meta: dict, rand=random.SystemRandom()) -> int:
     return n
 
 
-def write_manifest(store: Store, location: str, rows: list[dict], sequence: int, snapshot_id: int) -> dict:
-    """Writes a manifest of entries and returns its row for a manifest list, with real counts and length."""
+def write_manifest(store: Store, location: str, rows: list[dict], sequence: int, snapshot_id: int, like: avro_ocf.Container | None = None, row: dict | None = None) -> dict:
+    """Writes a manifest of entries and returns its row for a manifest list, with real counts and length.
+
+    like: a manifest of the table, whose schema and header (partition spec, format version) the new one has, so
+    that its entries keep all fields; row: that manifest's row in its list, for the partition spec.
+    """
     path = f"{location.rstrip('/')}/metadata/{uuid.uuid4()}-m0.avro"
-    raw = avro_ocf.encode(avro_ocf.ENTRY_SCHEMA, rows, meta={"format-version": "1", "content": "data"})
+    schema, meta = (like.schema, like.meta) if like else (avro_ocf.ENTRY_SCHEMA, {"format-version": "1", "content": "data"})
+    raw = avro_ocf.encode(schema, rows, meta=meta)
     store.write(path, raw)
     by = lambda s, f=lambda r: 1: sum(f(r) for r in rows if r["status"] == s)
     rows_of = lambda r: r["data_file"]["record_count"]
+    least = min((r["sequence_number"] for r in rows if r["status"] == 0 and r.get("sequence_number") is not None), default=sequence)
     return {
-        "manifest_path": path, "manifest_length": len(raw), "partition_spec_id": 0, "content": 0, "sequence_number": sequence, "min_sequence_number": sequence, "added_snapshot_id": snapshot_id,
-        "added_files_count": by(1), "existing_files_count": by(0), "deleted_files_count": by(2), "added_rows_count": by(1, rows_of), "existing_rows_count": by(0, rows_of), "deleted_rows_count": by(2, rows_of),
+        "manifest_path": path, "manifest_length": len(raw), "partition_spec_id": (row or {}).get("partition_spec_id", 0), "content": 0, "sequence_number": sequence, "min_sequence_number": min(least, sequence),
+        "added_snapshot_id": snapshot_id, "added_files_count": by(1), "existing_files_count": by(0), "deleted_files_count": by(2),
+        "added_rows_count": by(1, rows_of), "existing_rows_count": by(0, rows_of), "deleted_rows_count": by(2, rows_of),
     }
 
 
-def write_list(store: Store, location: str, rows: list[dict], snapshot_id: int) -> str:
+def write_list(store: Store, location: str, rows: list[dict], snapshot_id: int, like: avro_ocf.Container | None = None) -> str:
+    """Writes a manifest list with the schema and header of like, a list of the table, so that old rows keep all fields."""
     path = f"{location.rstrip('/')}/metadata/snap-{snapshot_id}-{uuid.uuid4()}.avro"
-    store.write(path, avro_ocf.encode(avro_ocf.LIST_SCHEMA, rows, meta={"snapshot-id": str(snapshot_id)}))
+    schema, meta = (like.schema, like.meta) if like else (avro_ocf.LIST_SCHEMA, {})
+    store.write(path, avro_ocf.encode(schema, rows, meta=meta | {"snapshot-id": str(snapshot_id)}))
     return path
 
 
+def kept_entry(entry: dict, manifest: dict) -> dict:
+    """A live entry as it stands in a rewritten manifest: what it took over from its manifest's row is written out."""
+    out = entry | {"status": 0, "snapshot_id": entry["snapshot_id"] or manifest["added_snapshot_id"]}
+    for name in ("sequence_number", "file_sequence_number"):
+        if name in entry and entry[name] is None:
+            out[name] = manifest.get("sequence_number") or 0
+    return out
+
+
 def append(store: Store, meta: dict, files: list[dict], now_ms: int) -> dict:
     """A snapshot that adds data files to the current ones: the list of the parent and one more manifest."""
     parent, sid = current_snapshot(meta), new_snapshot_id(meta)
     sequence = (meta.get("last-sequence-number") or 0) + 1
-    old = list(avro_ocf.decode(store.read(parent["manifest-list"]))) if parent else []
+    old = avro_ocf.container(store.read(parent["manifest-list"])) if parent else None
     new = write_manifest(store, meta["location"], [{"status": 1, "snapshot_id": sid, "data_file": f} for f in files], sequence, sid)
-    return {"snapshot-id": sid, "parent-snapshot-id": parent["snapshot-id"] if parent else None, "sequence-number": sequence, "timestamp-ms": now_ms, "manifest-list": write_list(store, meta["location"], [*old, new], sid), "summary": {"operation": "append"}}
+    at = write_list(store, meta["location"], [*(old.rows if old else ()), new], sid, old)
+    return {"snapshot-id": sid, "parent-snapshot-id": parent["snapshot-id"] if parent else None, "sequence-number": sequence, "timestamp-ms": now_ms, "manifest-list": at, "summary": {"operation": "append"}}

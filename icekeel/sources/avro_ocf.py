@@ -12,6 +12,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
@@ -56,17 +57,36 @@ def _put_long(out: io.BytesIO, n: int) -> None:
     out.write(bytes((z,)))
 
 
-def _put(out: io.BytesIO, schema: Any, value: Any) -> None:
+def _blank(schema: Any) -> Any:
+    """What a required field holds that is unknown here."""
     kind = schema["type"] if isinstance(schema, dict) else schema
+    if isinstance(kind, dict):
+        return _blank(kind)
+    if isinstance(kind, list):
+        return None if "null" in kind else _blank(kind[0])
+    if kind == "record":
+        return {f["name"]: _blank(f["type"]) for f in schema["fields"]}
+    if kind == "fixed":
+        return bytes(schema["size"])
+    if kind == "enum":
+        return schema["symbols"][0]
+    return {"string": "", "bytes": b"", "boolean": False, "float": 0.0, "double": 0.0, "array": [], "map": {}, "null": None}.get(kind, 0)
+
+
+def _put(out: io.BytesIO, schema: Any, value: Any, named: dict[str, Any] | None = None) -> None:
+    named = {} if named is None else named
+    kind = schema["type"] if isinstance(schema, dict) else schema
+    if isinstance(schema, dict) and "name" in schema and kind in ("record", "enum", "fixed"):
+        named[schema["name"]] = schema
     if isinstance(kind, list):
         n = next(k for k, s in enumerate(kind) if (s == "null") == (value is None))
         _put_long(out, n)
-        _put(out, kind[n], value)
+        _put(out, kind[n], value, named)
     elif isinstance(kind, dict):
-        _put(out, kind, value)
+        _put(out, kind, value, named)
     elif kind == "record":
         for f in schema["fields"]:
-            _put(out, f["type"], value.get(f["name"], f.get("default")) if isinstance(value, dict) else value[f["name"]])
+            _put(out, f["type"], value[f["name"]] if f["name"] in value else f["default"] if "default" in f else _blank(f["type"]), named)
     elif kind in ("int", "long"):
         _put_long(out, int(value))
     elif kind in ("string", "bytes"):
@@ -87,9 +107,11 @@ def _put(out: io.BytesIO, schema: Any, value: Any) -> None:
             _put_long(out, len(rows))
         for r in rows:
             if kind == "map":
-                _put(out, "string", r[0])
-            _put(out, schema["values"] if kind == "map" else schema["items"], r[1] if kind == "map" else r)
+                _put(out, "string", r[0], named)
+            _put(out, schema["values"] if kind == "map" else schema["items"], r[1] if kind == "map" else r, named)
         _put_long(out, 0)
+    elif kind in named:
+        _put(out, named[kind], value, named)
     elif kind != "null":
         raise ValueError(f"unknown Avro type {kind!r}")
 
@@ -154,16 +176,16 @@ class _Reader:
         raise ValueError(f"unknown Avro type {kind!r}")
 
 
-def encode(schema: dict, rows: list[dict], codec: str = "deflate", meta: dict[str, str] | None = None, block_rows: int = 4096) -> bytes:
-    """rows as one container file."""
+def encode(schema: dict, rows: list[dict], codec: str = "deflate", meta: dict[str, str | bytes] | None = None, block_rows: int = 4096) -> bytes:
+    """rows as one container file; fields that a row lacks get their default, or a blank value."""
     out, sync = io.BytesIO(), os.urandom(16)
     out.write(MAGIC)
-    _put(out, {"type": "map", "values": "bytes"}, {"avro.schema": json.dumps(schema), "avro.codec": codec} | (meta or {}))
+    _put(out, {"type": "map", "values": "bytes"}, (meta or {}) | {"avro.schema": json.dumps(schema), "avro.codec": codec})
     out.write(sync)
     for at in range(0, len(rows), block_rows):
-        block = io.BytesIO()
+        block, named = io.BytesIO(), {}
         for r in rows[at : at + block_rows]:
-            _put(block, schema, r)
+            _put(block, schema, r, named)
         raw = block.getvalue()
         if codec == "deflate":
             c = zlib.compressobj(6, zlib.DEFLATED, -15)
@@ -177,29 +199,48 @@ def encode(schema: dict, rows: list[dict], codec: str = "deflate", meta: dict[st
     return out.getvalue()
 
 
-def decode(raw: bytes) -> Iterator[dict]:
-    """The rows of a container file by the schema in it; any damage is an error."""
+@dataclass
+class Container:
+    """An opened file: its writer's schema, what else its header holds, and its rows."""
+
+    schema: dict
+    meta: dict[str, bytes]
+    rows: Iterator[dict]
+
+
+def container(raw: bytes) -> Container:
+    """A container file by the schema in it; any damage is an error, that of blocks where rows are read."""
     r = _Reader(raw)
     if r.take(4) != MAGIC:
         raise ValueError("not an Avro container file")
     meta = r.value({"type": "map", "values": "bytes"})
-    schema, codec, sync = json.loads(meta["avro.schema"]), meta.get("avro.codec", b"null").decode(), r.take(16)
-    while r.at < len(raw):
-        n, data = r.long(), r.take(r.long())
-        if codec == "deflate":
-            data = zlib.decompress(data, -15)
-        elif codec != "null":
-            raise ValueError(f"unknown codec {codec!r}")
-        block = _Reader(data)
-        for _ in range(n):
-            yield block.value(schema)
-        if r.take(16) != sync:
-            raise ValueError("a block of the Avro file is damaged")
+    schema, codec, sync = json.loads(meta.pop("avro.schema")), meta.pop("avro.codec", b"null").decode(), r.take(16)
+
+    def rows() -> Iterator[dict]:
+        while r.at < len(raw):
+            n, data = r.long(), r.take(r.long())
+            if codec == "deflate":
+                data = zlib.decompress(data, -15)
+            elif codec != "null":
+                raise ValueError(f"unknown codec {codec!r}")
+            block = _Reader(data)
+            for _ in range(n):
+                yield block.value(schema)
+            if r.take(16) != sync:
+                raise ValueError("a block of the Avro file is damaged")
+
+    return Container(schema, meta, rows())
+
+
+def decode(raw: bytes) -> Iterator[dict]:
+    """The rows of a container file."""
+    yield from container(raw).rows
 
 
 def _read(spark: SparkSession, paths: list[str] | DataFrame, row: str) -> DataFrame:
     if isinstance(paths, DataFrame):
-        paths = [r[0] for r in paths.collect()]  # the manifests of one table
+        # The manifests of one table, of some megabytes each: a table of ten million files has a few thousand.
+        paths = [r[0] for r in paths.toLocalIterator()]
     if not paths:
         return spark.createDataFrame([], f"source string, {row}")
     schema = spark.createDataFrame([], row).schema

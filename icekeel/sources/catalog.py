@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import copy
+import hashlib
+import hmac
 import json
+import os
 import threading
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
 import uuid
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from typing import Any, Protocol
 
 from icekeel.plans.retry import Conflict
@@ -239,3 +244,128 @@ def rest(kind: str, url: str, **credential: str) -> RestCatalog:
 def is_iceberg(parameters: dict[str, str]) -> bool:
     """Whether a catalog entry with these parameters is a table of this format."""
     return parameters.get("table_type", "").lower() == "iceberg"
+
+
+class GlueError(Exception):
+    """An error of the service, with its name."""
+
+    def __init__(self, name: str, message: str = ""):
+        super().__init__(f"{name}: {message}")
+        self.name = name
+
+
+class GlueCatalog:
+    """Databases of the Glue service as namespaces; metadata documents lie in the store, and an entry points to its last one.
+
+    call(action, request) answers a request of the service's JSON protocol and raises GlueError. An update names
+    the version that it was made from, so that the service refuses it after another writer's.
+    """
+
+    #: The parameter that points to the document, and what an update may hold of an entry.
+    POINTER = "metadata_location"
+    INPUT = ("Name", "Description", "Owner", "LastAccessTime", "LastAnalyzedTime", "Retention", "StorageDescriptor", "PartitionKeys", "ViewOriginalText", "ViewExpandedText", "TableType", "Parameters", "TargetTable")
+    LATE = ("ConcurrentModificationException", "ConditionCheckFailureException", "VersionMismatchException")
+
+    def __init__(self, call: Callable[[str, dict], dict], store: Store):
+        self.call, self.store, self.locks, self.guard = call, store, {}, threading.Lock()
+
+    def _pages(self, action: str, request: dict, key: str) -> Iterator[dict]:
+        token: dict = {}
+        while True:
+            page = self.call(action, request | token)
+            yield from page.get(key) or []
+            if not page.get("NextToken"):
+                return
+            token = {"NextToken": page["NextToken"]}
+
+    def namespaces(self) -> list[str]:
+        return [d["Name"] for d in self._pages("GetDatabases", {}, "DatabaseList")]
+
+    def tables(self, namespace: str) -> list[TableId]:
+        """Tables of this format; none for an unknown database."""
+        try:
+            return [TableId(namespace, t["Name"]) for t in self._pages("GetTables", {"DatabaseName": namespace}, "TableList") if is_iceberg(t.get("Parameters") or {})]
+        except GlueError as e:
+            if e.name == "EntityNotFoundException":
+                return []
+            raise
+
+    def _entry(self, table: TableId) -> tuple[dict, str]:
+        try:
+            entry = self.call("GetTable", {"DatabaseName": table.namespace, "Name": table.name})["Table"]
+        except GlueError as e:
+            if e.name == "EntityNotFoundException":
+                raise TableNotFound(str(table)) from e
+            raise
+        at = (entry.get("Parameters") or {}).get(self.POINTER)
+        if not at:
+            raise ValueError(f"{table} has no {self.POINTER}")
+        return entry, at
+
+    def load(self, table: TableId) -> dict:
+        return json.loads(self.store.read(self._entry(table)[1]))
+
+    def commit(self, table: TableId, tx: Transaction) -> None:
+        with self.guard:
+            lock = self.locks.setdefault(str(table), threading.Lock())
+        with lock:
+            entry, at = self._entry(table)
+            meta = json.loads(self.store.read(at))
+            check_requirements(meta, tx)
+            new = next_metadata_location(at)
+            self.store.write(new, json.dumps(apply_updates(meta, tx)).encode(), False)
+            updated = {k: entry[k] for k in self.INPUT if k in entry} | {"Parameters": entry["Parameters"] | {self.POINTER: new, f"previous_{self.POINTER}": at}}
+            request = {"DatabaseName": table.namespace, "TableInput": updated, "SkipArchive": True} | ({"VersionId": entry["VersionId"]} if entry.get("VersionId") else {})
+            try:
+                self.call("UpdateTable", request)
+            except GlueError as e:
+                self.store.delete(new)
+                if e.name in self.LATE:
+                    raise Conflict(str(table)) from e
+                raise
+
+
+def signed(secret: str, key: str, token: str, region: str, service: str, host: str, headers: dict[str, str], body: bytes, now: datetime) -> dict[str, str]:
+    """headers of a POST to / with a version 4 signature."""
+    day, moment = now.strftime("%Y%m%d"), now.strftime("%Y%m%dT%H%M%SZ")
+    headers = {k.lower(): v for k, v in headers.items()} | {"host": host, "x-amz-date": moment} | ({"x-amz-security-token": token} if token else {})
+    names, scope = ";".join(sorted(headers)), f"{day}/{region}/{service}/aws4_request"
+    canonical = "\n".join(["POST", "/", "", *(f"{k}:{headers[k].strip()}" for k in sorted(headers)), "", names, hashlib.sha256(body).hexdigest()])
+    own = f"AWS4{secret}".encode()
+    for part in scope.split("/"):
+        own = hmac.digest(own, part.encode(), "sha256")
+    signature = hmac.digest(own, "\n".join(["AWS4-HMAC-SHA256", moment, scope, hashlib.sha256(canonical.encode()).hexdigest()]).encode(), "sha256").hex()
+    return headers | {"authorization": f"AWS4-HMAC-SHA256 Credential={key}/{scope}, SignedHeaders={names}, Signature={signature}"}
+
+
+def glue(region: str, store: Store, endpoint: str = "", environment: Mapping[str, str] = os.environ, timeout: float = 30.0) -> GlueCatalog:
+    """The service of a region, with credentials from the usual environment variables."""
+    url = endpoint or f"https://glue.{region}.amazonaws.com"
+    host = urllib.parse.urlsplit(url).netloc
+
+    def call(action: str, request: dict) -> dict:
+        body = json.dumps(request).encode()
+        headers = {"Content-Type": "application/x-amz-json-1.1", "X-Amz-Target": f"AWSGlue.{action}"}
+        credential = [environment.get(f"AWS_{n}", "") for n in ("SECRET_ACCESS_KEY", "ACCESS_KEY_ID", "SESSION_TOKEN")]
+        ready = signed(*credential, region, "glue", host, headers, body, datetime.now(timezone.utc))
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, body, ready, method="POST"), timeout=timeout) as r:
+                return json.loads(r.read() or b"{}")
+        except urllib.error.HTTPError as e:
+            raw = e.read()
+            try:
+                found = json.loads(raw)
+            except ValueError:
+                found = {}
+            raise GlueError(str(found.get("__type", e.code)).rpartition("#")[2], str(found.get("message") or found.get("Message") or "")) from e
+
+    return GlueCatalog(call, store)
+
+
+def opened(section: dict[str, Any], store: Store, root: str = "") -> Catalog:
+    """The catalog that a section of the configuration names."""
+    if section["type"] == "filesystem":
+        return FileCatalog(store, root or section.get("url", ""))
+    if section["type"] == "glue":
+        return glue(section.get("region") or os.environ.get("AWS_REGION", ""), store, section.get("url") or "")
+    return rest(section["type"], section["url"], **(section.get("credential") or {}))

@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The column that numbers bins.
+BIN = "_icekeel_bin"
 #: Fixed values of the output: codec, level and rows of a row group.
 CODEC, LEVEL, GROUP_ROWS = "zstd", 3, 122_880
 FORMAT = {"compression": CODEC, "parquet.compression.codec.zstd.level": str(LEVEL), "parquet.block.row.count.limit": str(GROUP_ROWS)}
 
 
-def read_by_name(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _scans(spark: SparkSession, paths: list[str]) -> list[tuple[list[str], DataFrame]]:
+    """Scans that hold all files, as few as their types allow: a job over many footers merges schemas, and halves are tried where it can't."""
+    try:
+        return [(paths, spark.read.option("mergeSchema", True).parquet(*paths))]
+    except Exception as e:
+        if len(paths) == 1 or "merge" not in str(e).lower():
+            raise
+        mid = len(paths) // 2
+        return _scans(spark, paths[:mid]) + _scans(spark, paths[mid:])
+
+
+def read_by_name(spark: SparkSession, paths: list[str], path_column: str | None = None) -> DataFrame:
     """All rows of the files; columns are matched by name, missing ones are null, numbers widen.
 
-    Files with equal schemas are read in one scan, so the union has one branch for each schema.
+    Files whose schemas can be merged are read in one scan, so the union has a branch for each set of types that
+    clash. path_column, if given, holds the file that a row is from.
     """
     groups: dict[str, list[str]] = {}
-    for path in paths:
-        groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
-    parts = [spark.read.parquet(*own) for own in groups.values()]
+    for own, df in _scans(spark, paths):
+        groups.setdefault(df.schema.json(), []).extend(own)
+    parts = [spark.read.option("mergeSchema", True).parquet(*own) for own in groups.values()]
+    if path_column:
+        parts = [p.select("*", F.url_decode("_metadata.file_path").alias(path_column)) for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
@@ -29,13 +46,17 @@ def write(df: DataFrame, path: str) -> None:
     df.write.options(**FORMAT).parquet(path)
 
 
-def write_bins(df: DataFrame, bins: dict[str, int], path: str, order: list) -> None:
-    """df, read from the files that bins numbers, with one file for each bin under path/bin=<n>, rows ordered inside.
+def write_bins(spark: SparkSession, bins: dict[str, int], path: str) -> None:
+    """The rows of the files that bins numbers, with one file for each bin under path/<BIN>=<n>.
 
     One job writes all bins of a candidate; a bin is of the target file size, so a task holds one file's rows.
     """
-    spark = df.sparkSession
-    table = spark.createDataFrame(sorted(bins.items()), "_path string, bin int")
-    tagged = df.withColumn("_path", F.url_decode("_metadata.file_path")).join(F.broadcast(table), "_path").drop("_path")
-    n = max(1, len(set(bins.values())))
-    tagged.repartition(n, "bin").sortWithinPartitions("bin", *order).write.options(**FORMAT).partitionBy("bin").parquet(path)
+    df = read_by_name(spark, list(bins), "_path")
+    table = spark.createDataFrame([(plain_path(p), b) for p, b in bins.items()], f"_path string, {BIN} int")
+    tagged = df.withColumn("_path", F.regexp_replace("_path", "^([a-z0-9]+):///+", "$1:/")).join(F.broadcast(table), "_path").drop("_path")
+    tagged.repartition(max(1, len(set(bins.values()))), BIN).sortWithinPartitions(BIN).write.options(**FORMAT).partitionBy(BIN).parquet(path)
+
+
+def plain_path(path: str) -> str:
+    """A path without the empty authority that file systems put in or leave out: file:///x is file:/x."""
+    return re.sub("^([a-z0-9]+):///+", r"\1:/", path)

@@ -109,7 +109,7 @@ class FakeMaintainer:
     def recover(self, table, now):
         pass
 
-    def find_candidates(self, table, policy, now):
+    def candidates(self, table, policy, now):
         return ["c1", "c2"] if table.name == "t" else []
 
     def compact(self, table, c, policy, now):

@@ -231,3 +231,107 @@ def test_orphans(world, tmp_path):
         m.clean(T, policy(), NOW + timedelta(days=9))
     assert store.exists(old)
     json.dumps(r.__dict__)
+
+
+#: A manifest as other writers of version 2 make it: partition, sequence numbers and metrics, by id and named types.
+RICH = {
+    "type": "record", "name": "manifest_entry", "fields": [
+        {"name": "status", "type": "int", "field-id": 0}, {"name": "snapshot_id", "type": ["null", "long"], "default": None, "field-id": 1},
+        {"name": "sequence_number", "type": ["null", "long"], "default": None, "field-id": 3}, {"name": "file_sequence_number", "type": ["null", "long"], "default": None, "field-id": 4},
+        {"name": "data_file", "field-id": 2, "type": {"type": "record", "name": "r2", "fields": [
+            {"name": "content", "type": "int", "field-id": 134}, {"name": "file_path", "type": "string", "field-id": 100}, {"name": "file_format", "type": "string", "field-id": 101},
+            {"name": "partition", "field-id": 102, "type": {"type": "record", "name": "r102", "fields": [{"name": "p", "type": ["null", "int"], "default": None, "field-id": 1000}]}},
+            {"name": "record_count", "type": "long", "field-id": 103}, {"name": "file_size_in_bytes", "type": "long", "field-id": 104},
+            {"name": "lower_bounds", "field-id": 125, "default": None, "type": ["null", {"type": "array", "logicalType": "map", "items": {"type": "record", "name": "k126_v127", "fields": [{"name": "key", "type": "int"}, {"name": "value", "type": "bytes"}]}}]},
+            {"name": "key_metadata", "type": ["null", "bytes"], "default": None, "field-id": 131}, {"name": "block_size", "type": "long", "field-id": 105},
+        ]}},
+    ],
+}
+RICH_LIST = avro_ocf.LIST_SCHEMA | {"fields": [*avro_ocf.LIST_SCHEMA["fields"], {"name": "key_metadata", "type": ["null", "bytes"], "default": None, "field-id": 519}]}
+
+
+def rich_table(world, parts):
+    """A snapshot with one manifest of files (name, partition) whose entries hold more than jobs know."""
+    spark, store, catalog, _, location = world
+    entries = []
+    for k, (name, p) in enumerate(parts):
+        path = f"{location}/data/p={p}/{name}.parquet"
+        spark.createDataFrame([(k, name)], "id long, v string").coalesce(1).write.parquet(f"{path}_")
+        store.rename(next(x for x, *_ in store.rows(f"{path}_") if x.endswith(".parquet")), path)
+        file = {"content": 0, "file_path": path, "file_format": "PARQUET", "partition": {"p": p}, "record_count": 1, "file_size_in_bytes": store.size(path), "lower_bounds": [{"key": 1, "value": bytes([k])}], "key_metadata": b"km", "block_size": 7}
+        entries.append({"status": 1, "snapshot_id": None, "sequence_number": None, "file_sequence_number": None, "data_file": file})
+    raw = avro_ocf.encode(RICH, entries, meta={"partition-spec-id": "3", "format-version": "2", "content": "data"})
+    at = f"{location}/metadata/rich.avro"
+    store.write(at, raw)
+    row = {"manifest_path": at, "manifest_length": len(raw), "partition_spec_id": 3, "content": 0, "sequence_number": 9, "min_sequence_number": 9, "added_snapshot_id": 1, "key_metadata": b"list"} | {f["name"]: 0 for f in avro_ocf.LIST_SCHEMA["fields"][7:]}
+    other = row | {"manifest_path": f"{location}/metadata/other.avro", "key_metadata": b"kept"}
+    store.write(other["manifest_path"], avro_ocf.encode(RICH, [entries[0] | {"data_file": entries[0]["data_file"] | {"file_path": f"{location}/data/p=9/elsewhere.parquet"}}], meta={"format-version": "2"}))
+    store.write(f"{location}/metadata/l.avro", avro_ocf.encode(RICH_LIST, [row, other], meta={"format-version": "2", "snapshot-id": "1"}))
+    snap = {"snapshot-id": 1, "sequence-number": 9, "timestamp-ms": MS - 5 * HOUR, "manifest-list": f"{location}/metadata/l.avro", "summary": {}}
+    catalog.commit(T, Transaction().add(snap))
+    return [e["data_file"] for e in entries]
+
+
+def test_rewritten_manifests_keep_what_they_hold(world):
+    _, store, catalog, m, location = world
+    files = rich_table(world, [("a", 1), ("b", 1), ("c", 2)])
+    (c,) = m.find_candidates(T, policy(), NOW)
+    r = m.compact(T, c, policy(), NOW)
+    listed = avro_ocf.container(store.read(current_snapshot(catalog.load(T))["manifest-list"]))
+    rows = list(listed.rows)
+    assert listed.meta["format-version"] == b"2" and [x["partition_spec_id"] for x in rows] == [3, 3, 3]
+    assert [x["key_metadata"] for x in rows if x["manifest_path"].endswith("other.avro")] == [b"kept"]
+    held = {}
+    for x in rows:
+        opened = avro_ocf.container(store.read(x["manifest_path"]))
+        assert opened.schema == RICH
+        held |= {e["data_file"]["file_path"]: (e, x) for e in opened.rows}
+    entry, row = held[files[2]["file_path"]]
+    assert entry == {"status": 0, "snapshot_id": 1, "sequence_number": 9, "file_sequence_number": 9, "data_file": files[2]} and row["min_sequence_number"] == 9 and row["existing_rows_count"] == 1
+    entry, row = held[r.outputs[0]]
+    assert entry["status"] == 1 and entry["sequence_number"] is None and entry["data_file"]["partition"] == {"p": 1} and entry["data_file"]["record_count"] == 2 and row["sequence_number"] == 10
+    assert not {files[0]["file_path"], files[1]["file_path"]} & set(held)
+
+
+def test_files_of_several_partitions_are_not_merged(world):
+    _, store, catalog, m, location = world
+    files = rich_table(world, [("a", 1), ("b", 2)])
+    sizes = [(f["file_path"], f["file_size_in_bytes"]) for f in files]
+    from icekeel.plans.maintenance import Candidate, MixedPartitions
+
+    with pytest.raises(MixedPartitions):
+        m.compact(T, Candidate(f"{location}/data/p=1", sizes), policy(), NOW)
+    assert catalog.load(T)["current-snapshot-id"] == 1 and not [p for p, *_ in store.rows(f"{location}/data") if "compact-" in p]
+
+
+def test_files_follow_their_bins(world):
+    spark, store, *_, m, location = world
+    for k in range(6):
+        add(world, [(10 * k + j, "x" * 50) for j in range(10)], f"f{k}", 5 * HOUR)
+    (c,) = m.find_candidates(T, policy(), NOW)
+    from icekeel.plans.maintenance import Candidate
+
+    sized = Candidate(c.partition_dir, [(f, 1 << 19) for f, _ in c.files])  # as if two made up a megabyte
+    r = m.compact(T, sized, policy(target_file_size_mb=1), NOW)
+    assert sorted(sorted({x.id // 20 for x in spark.read.parquet(p).collect()}) for p in r.outputs) == [[0], [1], [2]]
+    assert len(table_rows(world)[0]) == 60
+
+
+def test_memory_limit_makes_more_files(world):
+    spark, *_, m, _ = world
+    for k in range(4):
+        add(world, [(j, "y") for j in range(k, 400, 4)], f"f{k}", 5 * HOUR)
+    p = policy(strategy="sort", sort_keys=("id",))
+    (c,) = m.find_candidates(T, p, NOW)
+    m.memory_limit = sum(n for _, n in c.files)
+    r = m.compact(T, c, p, NOW)
+    assert len(r.outputs) == 4 and table_rows(world)[0] == [(k, "y") for k in range(400)]
+
+
+def test_journals_of_other_processes_wait(world):
+    _, store, _, m, location = world
+    add(world, [(1, "a")], "a", HOUR)
+    for job, hours in (("young", 1), ("old", 48)):
+        m._journal(location, job, {"job_id": job, "owner": "another", "state": "pending", "created_at": (NOW - timedelta(hours=hours)).isoformat(), "input_files": [], "output_files": []})
+    assert m.recover(T, NOW) == {"old": "dropped", "young": "left"}
+    assert m.recover(T, NOW + timedelta(days=2)) == {"young": "dropped"}

@@ -1,5 +1,6 @@
 import json
 import threading
+from datetime import datetime, timezone
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pyarrow.parquet as pq
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from icekeel.functions import paths
 from icekeel.functions.morton import interleave
 from icekeel.operators import compaction
+from icekeel.operators.running import running
 from icekeel.plans.retry import Conflict
 from icekeel.sources import avro_ocf, parquet
-from icekeel.sources.catalog import FileCatalog, RestCatalog, TableId, TableNotFound, Tokens, Transaction, apply_updates, check_requirements, is_iceberg, next_metadata_location, rest
-from icekeel.sources.store import Store
+from icekeel.sources import store as store_module
+from icekeel.sources.catalog import FileCatalog, GlueCatalog, GlueError, RestCatalog, TableId, TableNotFound, Tokens, Transaction, apply_updates, check_requirements, is_iceberg, next_metadata_location, opened, rest, signed
+from icekeel.sources.store import Store, hadoop_settings
 
 WIDE = {
     "type": "record",
@@ -220,12 +223,13 @@ def test_dotted_columns_and_widening(spark, tmp_path):
 
 
 def test_write_bins(spark, tmp_path):
-    spark.range(0, 40, numPartitions=4).write.parquet(f"{tmp_path}/in")
-    df = spark.read.parquet(f"{tmp_path}/in")
-    files = sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect())
-    parquet.write_bins(df, {f: k // 2 for k, f in enumerate(files)}, f"{tmp_path}/out", [F.col("id").desc()])
-    assert sorted(p.name for p in tmp_path.joinpath("out").iterdir() if p.is_dir()) == ["bin=0", "bin=1"]
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 40
+    spark.range(0, 40, numPartitions=4).withColumn("bin", F.lit("own")).write.parquet(f"{tmp_path}/in")
+    files = sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/in").select("_metadata.file_path").distinct().collect())
+    parquet.write_bins(spark, {f: k // 2 for k, f in enumerate(files)}, f"{tmp_path}/out")
+    found = {p.name: [f for f in p.iterdir() if f.suffix == ".parquet"] for p in tmp_path.joinpath("out").iterdir() if p.is_dir()}
+    assert sorted(found) == [f"{parquet.BIN}={k}" for k in (0, 1)] and all(len(f) == 1 for f in found.values())
+    assert sorted(pq.read_table(found[f"{parquet.BIN}=0"][0])["id"].to_pylist()) == list(range(20))
+    assert spark.read.parquet(f"{tmp_path}/out").filter("bin = 'own'").count() == 40
 
 
 @given(st.integers(0, 255), st.integers(0, 255))
@@ -244,3 +248,119 @@ def test_interleave(spark):
 def test_rest_kinds():
     assert rest("nessie", "http://h/").url == "http://h/iceberg" and rest("polaris", "http://h").url == "http://h"
     assert isinstance(rest("lakekeeper", "http://h"), RestCatalog)
+
+
+class FakeGlue:
+    """The service in memory: pages of one entry each, and versions that updates must name."""
+
+    def __init__(self, tables):
+        self.tables, self.calls, self.fail = tables, [], None
+
+    def __call__(self, action, request):
+        self.calls.append(action)
+        if action in ("GetDatabases", "GetTables"):
+            if action == "GetTables" and request["DatabaseName"] == "none":
+                raise GlueError("EntityNotFoundException")
+            key, rows = ("DatabaseList", [{"Name": n} for n in ("a", "b")]) if action == "GetDatabases" else ("TableList", list(self.tables.values()))
+            at = int(request.get("NextToken", 0))
+            return {key: rows[at : at + 1]} | ({"NextToken": str(at + 1)} if at + 1 < len(rows) else {})
+        name = request.get("Name") or request["TableInput"]["Name"]
+        if name not in self.tables:
+            raise GlueError("EntityNotFoundException")
+        if action == "GetTable":
+            return {"Table": self.tables[name]}
+        if self.fail:
+            raise self.fail
+        if request["VersionId"] != self.tables[name]["VersionId"]:
+            raise GlueError("ConcurrentModificationException")
+        self.tables[name] = request["TableInput"] | {"VersionId": str(int(request["VersionId"]) + 1)}
+        return {}
+
+
+def test_glue(spark, tmp_path):
+    store, at = Store(spark), f"file:{tmp_path}/t/metadata/v1.metadata.json"
+    store.write(at, b'{"current-snapshot-id": 1, "snapshots": [{"snapshot-id": 1}], "x": [1]}')
+    entry = {"Name": "t", "VersionId": "4", "Owner": "o", "CreateTime": 1.0, "StorageDescriptor": {"Location": "l"}, "Parameters": {"table_type": "ICEBERG", "metadata_location": at, "k": "v"}}
+    fake = FakeGlue({"t": entry, "view": {"Name": "view", "Parameters": {}}, "lost": {"Name": "lost", "Parameters": {"table_type": "iceberg"}}})
+    c, t = GlueCatalog(fake, store), TableId("a", "t")
+    assert c.namespaces() == ["a", "b"] and [x.name for x in c.tables("a")] == ["t", "lost"] and c.tables("none") == []
+    assert c.load(t)["x"] == [1]
+    with pytest.raises(TableNotFound):
+        c.load(TableId("a", "no"))
+    with pytest.raises(ValueError):
+        c.load(TableId("a", "lost"))
+    c.commit(t, Transaction().current_is(1).add({"snapshot-id": 2, "sequence-number": 5}))
+    assert c.load(t)["current-snapshot-id"] == 2 and c.load(t)["x"] == [1]
+    now = fake.tables["t"]
+    assert now["Parameters"]["k"] == "v" and now["Parameters"]["previous_metadata_location"] == at and now["Owner"] == "o" and "CreateTime" not in now and now["VersionId"] == "5"
+    with pytest.raises(Conflict):
+        c.commit(t, Transaction().current_is(1).remove([1]))
+    documents = lambda: sorted(p for p, *_ in store.rows(f"file:{tmp_path}/t/metadata"))
+    before = documents()
+    for error, raised in ((GlueError("ConcurrentModificationException"), Conflict), (GlueError("AccessDeniedException"), GlueError)):
+        fake.fail = error
+        with pytest.raises(raised):
+            c.commit(t, Transaction().current_is(2).remove([1]))
+        assert documents() == before and c.load(t)["current-snapshot-id"] == 2
+
+
+def test_signature_of_the_published_example():
+    when = datetime(2015, 8, 30, 12, 36, tzinfo=timezone.utc)
+    got = signed("wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY", "AKIDEXAMPLE", "", "us-east-1", "service", "example.amazonaws.com", {}, b"", when)
+    assert got["authorization"].endswith("Signature=5da7c1a2acd57cee7505fc6676e4e544621c30862966e37dddb68e92efbe5d6b")
+
+
+def test_opened_catalogs(spark):
+    store = Store(spark)
+    assert isinstance(opened({"type": "glue", "region": "eu-west-1"}, store), GlueCatalog)
+    assert isinstance(opened({"type": "filesystem", "url": "file:/x"}, store), FileCatalog)
+    assert opened({"type": "nessie", "url": "http://h"}, store).url == "http://h/iceberg"
+
+
+def test_store_settings():
+    s3 = hadoop_settings({"type": "s3", "endpoint": "http://m:9000", "path_style": True, "region": "", "access_key_id": "a"})
+    assert s3["fs.s3a.endpoint"] == "http://m:9000" and s3["fs.s3a.path.style.access"] == "true" and s3["fs.s3a.access.key"] == "a"
+    assert "fs.s3a.endpoint.region" not in s3 and s3["fs.s3.impl"].endswith("S3AFileSystem")
+    assert hadoop_settings({"type": "gcs", "project": "p"})["fs.gs.project.id"] == "p"
+    azure = hadoop_settings({"type": "azure", "container": "c", "connection_string": "AccountName=acc;AccountKey=k==;EndpointSuffix=core.windows.net"})
+    assert azure["fs.azure.account.key.acc.dfs.core.windows.net"] == "k==" and azure["fs.defaultFS"] == "abfss://c@acc.dfs.core.windows.net/"
+    assert hadoop_settings({"type": "local"}) == {}
+
+
+def test_listing_in_runs(spark, tmp_path, monkeypatch):
+    store = Store(spark)
+    names = [f"d{k % 7}/e{k % 3}/f{k}" for k in range(60)] + ["_h/.x/y", "odd; name/{path=z}", "top"]
+    for n in names:
+        store.write(f"file:{tmp_path}/l/{n}", n.encode())
+    for run in (7, 50_000):
+        monkeypatch.setattr(store_module, "RUN", run)
+        got = {r.path.split("/l/")[1]: r.length for r in store.listing(f"file:{tmp_path}/l").collect()}
+        assert got == {n: len(n) for n in names}
+    assert store.listing(f"file:{tmp_path}/none").collect() == []
+    assert store.delete_all(f"file:{tmp_path}/l/{n}" for n in [*names, "gone"]) == (len(names), [])
+
+
+def test_running_sums_in_a_hot_group(spark):
+    rows = [("hot" if k % 5 else None, k * 37 % 500, k % 11) for k in range(500)]
+    df = spark.createDataFrame(rows, "part string, k long, sz long").repartition(3)
+    got = {(r.part, r.k): r.before for r in running(df, "part", "k", F.col("sz")).collect()}
+    assert got == {(p, k): sum(s for q, j, s in rows if q == p and j < k) for p, k, s in rows}
+    halves = {(r.part, r.k): r.half for r in compaction.halves(df, "part", "k").collect()}
+    for p in ("hot", None):
+        keys = sorted(k for q, k, _ in rows if q == p)
+        assert [halves[p, k] for k in keys] == [0] * (len(keys) // 2) + [1] * (len(keys) - len(keys) // 2)
+
+
+def test_layout_tells_disorder(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in (1, 3, 2, None)], "k long").coalesce(1).write.parquet(f"{tmp_path}/bad")
+    spark.createDataFrame([(k,) for k in (2, 5)], "k long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/bad")
+    assert tuple(compaction.layout(spark.read.parquet(f"{tmp_path}/bad"), ["k"]).first()) == (6, 2, 1, 1)
+    assert tuple(compaction.layout(spark.read.parquet(f"{tmp_path}/bad"), ["k"]).first())[0] == 6
+
+
+def test_files_whose_types_clash_are_read_in_few_scans(spark, tmp_path):
+    for k in range(6):
+        spark.range(k, k + 1).select(F.col("id").cast("int" if k < 3 else "long").alias("a"), *([F.lit(k).alias(f"only{k}")] if k % 2 else [])).coalesce(1).write.parquet(f"{tmp_path}/{k}")
+    df = parquet.read_by_name(spark, [f"{tmp_path}/{k}" for k in range(6)], "from")
+    assert sorted((r.a, r.only3, r["from"].split("/")[-2]) for r in df.collect()) == [(k, 3 if k == 3 else None, str(k)) for k in range(6)]
+    assert len(parquet._scans(spark, [f"{tmp_path}/{k}" for k in range(6)])) == 2
