@@ -8,6 +8,7 @@ is suppressed. Detections are found and sifted in one pass each, however many th
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add, or_
 
@@ -215,6 +216,15 @@ def rules() -> list[tuple[str, str, str, int]]:
     return out
 
 
+def any_of(words: list[str]) -> str:
+    """A regex that finds any of words; what words have in common in front is written once, so that few letters are tried at a place."""
+    if "" in words:
+        return ""
+    heads = list(dict.fromkeys(w[0] for w in words))
+    parts = [re.escape(h) + any_of([w[1:] for w in words if w[0] == h]) for h in heads]
+    return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+
 def _keywords(keywords: str) -> list[Column]:
     return [F.lit(f" {k}") for k in keywords.split("|")]
 
@@ -300,12 +310,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     independent; repeated rows repeat their result; other columns are ignored.
     """
     table = F.array(*(F.struct(F.lit(a).alias("label"), F.array(*_keywords(b)).alias("keywords"), F.lit(c).alias("regex"), F.lit(d).alias("priority")) for a, b, c, d in rules()))
-    every = F.array(*_keywords("|".join(dict.fromkeys(k for _, b, _, _ in rules() for k in b.split("|")))))
+    names = list(dict.fromkeys(k for _, b, _, _ in rules() for k in b.split("|")))
+    every = F.array(*_keywords("|".join(names)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Lower-cased beyond ASCII as well, which is quick: words begin and end alike, and hold the same keywords at least.
     rows = rows.select("doc_id", "text", F.regexp_replace(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), BETWEEN, " ").alias("low"))
     n_words = F.octet_length("low") - F.octet_length(F.replace("low", F.lit(" "), F.lit(""))) - 1
-    rows = rows.select("doc_id", "text", n_words.cast("long").alias("n_words"), F.filter(every, lambda k: F.contains(F.col("low"), k)).alias("held"))
+    rows = rows.select("doc_id", "text", n_words.cast("long").alias("n_words"), F.col("low").rlike(any_of([f" {k}" for k in sorted(names)])).alias("any"), "low")
+    rows = rows.select("doc_id", "text", "n_words", F.when(F.col("any"), F.filter(every, lambda k: F.contains(F.col("low"), k))).alias("held"))
     line = F.regexp_replace(F.concat(F.lit(" "), F.translate("text", UPPER, LOWER), F.lit(" ")), BETWEEN, " ")
     rows = rows.select("doc_id", "n_words", "held", F.when(F.size("held") > 0, line).alias("line"))
     rows = rows.select("doc_id", "n_words", "held", "line", F.when(reduce(or_, [F.contains("line", F.lit(f" {p} ")) for p in BASE]), F.split(F.trim("line"), " ", -1)).alias("words"))

@@ -101,6 +101,14 @@ def test_every_alternative_is_found_like_without_keywords(spark):
         assert {d[0] for d in kept} <= set(r.labels.split(",")) | {""}
 
 
+def test_any_of_finds_what_its_words_find():
+    words = sorted({f" {k}" for _, b, _, _ in L.rules() for k in b.split("|")})
+    regex = re.compile(L.any_of(words))
+    for w in words:
+        assert regex.search(f"x{w}y") and bool(regex.search(f"x{w[:-1]}")) == any(v in f"x{w[:-1]}" for v in words)
+    assert not regex.search(" a plain line about nothing")
+
+
 def test_many_detections_in_a_text(spark):
     """Fifty thousand detections take seconds, and are what the plain rule of suppression leaves."""
     docs = spark.createDataFrame([(1, "mit license " * 50_000), (2, "released under the mit license " * 700 + "gnu general public license version 3 apache " * 700)], "doc_id long, text string")
