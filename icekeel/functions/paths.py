@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: What column names and memory limits look like.
@@ -45,6 +45,24 @@ def bucket_of(uri: str) -> str:
     return uri.partition("://")[2].partition("/")[0]
 
 
+def default_fs(spark: SparkSession) -> str:
+    """What paths without a scheme lack: file: or the like."""
+    return (spark._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").rstrip("/")
+
+
+def plain(path: Column | str, default: str) -> Column:
+    """One form for the ways in which a path may be written, to compare: file:///x, file:/x and (by default) /x are one, as are s3, s3a and s3n."""
+    path = F.col(path) if isinstance(path, str) else path
+    rooted = F.when(F.startswith(path, F.lit("/")), F.concat(F.lit(default), path)).otherwise(path)
+    return F.regexp_replace(F.regexp_replace(rooted, "^([a-z0-9]+):///+", "$1:/"), "^s3[an]://", "s3://")
+
+
+def plain_path(path: str, default: str) -> str:
+    """plain() of a string."""
+    rooted = default + path if path.startswith("/") else path
+    return re.sub("^s3[an]://", "s3://", re.sub("^([a-z0-9]+):///+", r"\1:/", rooted))
+
+
 def as_folder(uri: str) -> str:
     """uri with one slash at its end, so that a sibling that shares the prefix isn't inside it."""
     return uri.rstrip("/") + "/"

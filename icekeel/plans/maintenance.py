@@ -10,14 +10,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta, timezone
 from itertools import chain, groupby
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from icekeel.functions.paths import default_fs, plain, plain_path
 from icekeel.operators import compaction, expiry, orphans
 from icekeel.plans.config import Policy, Retry, enabled, seconds
 from icekeel.plans.retry import Conflict, recoverable, retried
-from icekeel.plans.tables import DeletesPresent, TableFiles, current_files, has_deletes, holders, kept_entry, live_paths, new_snapshot_id, plain, write_list, write_manifest
+from icekeel.plans.tables import DeletesPresent, TableFiles, current_files, has_deletes, holders, kept_entry, live_paths, new_snapshot_id, write_list, write_manifest
 from icekeel.sources import avro_ocf, parquet
 from icekeel.sources.catalog import Catalog, TableId, Transaction, current_snapshot
 from icekeel.sources.scratch import materialize
@@ -144,8 +146,8 @@ class Maintainer:
 
     def _files(self, paths: list[str]) -> list[dict]:
         counts = {r.p: r.n for r in self.spark.read.parquet(*paths).groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count("*").alias("n")).collect()}
-        strip = lambda p: p.replace(":///", ":/")
-        counts = {strip(k): n for k, n in counts.items()}
+        strip = lambda p: plain_path(p, default_fs(self.spark))
+        counts = {strip(unquote(k)): n for k, n in counts.items()}
         return [{"content": 0, "file_path": p, "file_format": "PARQUET", "record_count": counts.get(strip(p), 0), "file_size_in_bytes": self.store.size(p)} for p in paths]
 
     def _commit_replace(self, table: TableId, inputs: list[str], outputs: list[dict], snapshot_id: int, now: datetime) -> None:
@@ -163,11 +165,12 @@ class Maintainer:
                 raise InputsGone(str(table))
             # Tasks find the manifests that hold inputs; the driver opens only those.
             old, gone, rest, model, part = set(inputs), set(), [], None, []
-            held = {parquet.plain_path(m) for m in holders(self.spark, snap, inputs)} if inputs else set()
+            default = default_fs(self.spark)
+            held = {plain_path(m, default) for m in holders(self.spark, snap, inputs)} if inputs else set()
             listed = avro_ocf.container(self.store.read(snap["manifest-list"]))
             sequence = (meta.get("last-sequence-number") or 0) + 1
             for m in listed.rows:
-                if parquet.plain_path(m["manifest_path"]) not in held:
+                if plain_path(m["manifest_path"], default) not in held:
                     rest.append(m)
                     continue
                 opened = avro_ocf.container(self.store.read(m["manifest_path"]))
@@ -284,12 +287,14 @@ class Maintainer:
         """Lists, manifests and data files that only the expired snapshots of before need; after holds what lives."""
         gone = TableFiles(self.spark, [s for s in before["snapshots"] if s["snapshot-id"] in set(ids)])
         live = TableFiles(self.spark, after.get("snapshots") or [])
-        kept = {s["manifest-list"] for s in live.snapshots if s.get("manifest-list")}
-        lists = sorted({s["manifest-list"] for s in gone.snapshots if s.get("manifest-list")} - kept)
-        theirs = live.owners().select("manifest_path").distinct()
-        manifests = gone.owners().select("manifest_path").distinct().join(theirs, "manifest_path", "left_anti")
-        needed = live.entries(theirs).select("file_path").distinct()
-        return lists, manifests, gone.entries(manifests).select("file_path").distinct().join(needed, "file_path", "left_anti")
+        default = default_fs(self.spark)
+        same = lambda df, name: df.select(F.col(name), plain(name, default).alias("p")).dropDuplicates(["p"])
+        kept = {plain_path(s["manifest-list"], default) for s in live.snapshots if s.get("manifest-list")}
+        lists = sorted({s["manifest-list"] for s in gone.snapshots if s.get("manifest-list") and plain_path(s["manifest-list"], default) not in kept})
+        theirs = same(live.owners(), "manifest_path")
+        manifests = same(gone.owners(), "manifest_path").join(theirs, "p", "left_anti").select("manifest_path")
+        needed = same(live.entries(theirs), "file_path")
+        return lists, manifests, same(gone.entries(manifests), "file_path").join(needed, "p", "left_anti").select("file_path")
 
     def expire(self, table: TableId, policy: Policy, now: datetime) -> ExpiryResult:
         """Removes expired snapshots, selected anew on each attempt, then the files that only they had."""
@@ -323,8 +328,9 @@ class Maintainer:
         if not enabled(p):
             return OrphanResult()
         meta = self.catalog.load(table)
-        live = live_paths(self.spark, meta).select(plain("p").alias("p"))
-        listing = self.store.listing(meta["location"]).filter(~F.contains("path", F.lit(f"/{JOURNAL}/"))).select(plain("path").alias("p"), "mtime", "path")
+        default = default_fs(self.spark)
+        live = live_paths(self.spark, meta).select(plain("p", default).alias("p"))
+        listing = self.store.listing(meta["location"]).filter(~F.contains("path", F.lit(f"/{JOURNAL}/"))).select(plain("path", default).alias("p"), "mtime", "path")
         marked = materialize(orphans.dispositions(listing, live, F.lit(now - timedelta(hours=p.grace_period_hours))))
         counts = {r.disposition: r["count"] for r in marked.groupBy("disposition").count().collect()}
         deleted, failed = self.store.delete_all(r.path for r in marked.filter("disposition = 'deleted'").select("path").toLocalIterator())

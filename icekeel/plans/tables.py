@@ -36,11 +36,6 @@ class TableFiles:
         return rows.select(F.col("source").alias("manifest_path"), "status", "snapshot_id", "data_file.*")
 
 
-def plain(path):
-    """A path without the empty authority that file systems put in or leave out: file:///x is file:/x."""
-    return F.regexp_replace(path, "^([a-z0-9]+):///+", "$1:/")
-
-
 def current_files(spark: SparkSession, meta: dict) -> DataFrame:
     """(file_path, size_bytes, record_count, added_at, manifest_path) of the current snapshot's data files."""
     snap = current_snapshot(meta)

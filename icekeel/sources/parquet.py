@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from icekeel.functions.paths import default_fs, plain, plain_path
+
 #: The column that numbers bins.
 BIN = "_icekeel_bin"
 #: Fixed values of the output: codec, level and rows of a row group.
@@ -52,11 +53,7 @@ def write_bins(spark: SparkSession, bins: dict[str, int], path: str) -> None:
     One job writes all bins of a candidate; a bin is of the target file size, so a task holds one file's rows.
     """
     df = read_by_name(spark, list(bins), "_path")
-    table = spark.createDataFrame([(plain_path(p), b) for p, b in bins.items()], f"_path string, {BIN} int")
-    tagged = df.withColumn("_path", F.regexp_replace("_path", "^([a-z0-9]+):///+", "$1:/")).join(F.broadcast(table), "_path").drop("_path")
+    default = default_fs(spark)
+    table = spark.createDataFrame([(plain_path(p, default), b) for p, b in bins.items()], f"_path string, {BIN} int")
+    tagged = df.withColumn("_path", plain("_path", default)).join(F.broadcast(table), "_path").drop("_path")
     tagged.repartition(max(1, len(set(bins.values()))), BIN).sortWithinPartitions(BIN).write.options(**FORMAT).partitionBy(BIN).parquet(path)
-
-
-def plain_path(path: str) -> str:
-    """A path without the empty authority that file systems put in or leave out: file:///x is file:/x."""
-    return re.sub("^([a-z0-9]+):///+", r"\1:/", path)

@@ -3,7 +3,7 @@ import subprocess
 import sys
 
 import __spark_entry__
-from icekeel import queries
+from icekeel import job_queries as queries
 
 ROOT = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
 

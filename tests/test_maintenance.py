@@ -335,3 +335,19 @@ def test_journals_of_other_processes_wait(world):
         m._journal(location, job, {"job_id": job, "owner": "another", "state": "pending", "created_at": (NOW - timedelta(hours=hours)).isoformat(), "input_files": [], "output_files": []})
     assert m.recover(T, NOW) == {"old": "dropped", "young": "left"}
     assert m.recover(T, NOW + timedelta(days=2)) == {"young": "dropped"}
+
+
+def test_paths_written_in_other_ways_are_the_same(world, tmp_path):
+    """A table whose metadata leaves out the scheme, or writes it with an empty authority, loses no live file."""
+    _, store, catalog, m, location = world
+    a, b = add(world, [(1, "a")], "a", 90 * HOUR), add(world, [(2, "b")], "b", 80 * HOUR)
+    snap = current_snapshot(catalog.load(T))
+    entry = lambda path: {"content": 0, "file_path": path, "file_format": "PARQUET", "record_count": 1, "file_size_in_bytes": 1}
+    side = append(store, catalog.load(T), [entry(a.removeprefix("file:")), entry(b.replace("file:/", "file:///"))], MS - 95 * HOUR)
+    catalog.commit(T, Transaction([], [{"action": "add-snapshot", "snapshot": side}]))
+    assert m.expire(T, policy(), NOW).deleted_data_files == 0 and store.exists(a) and store.exists(b)
+    meta = catalog.load(T)
+    bare = meta | {"location": location.removeprefix("file:"), "snapshots": [s | {"manifest-list": s["manifest-list"].removeprefix("file:")} for s in meta["snapshots"]]}
+    catalog.load = lambda table: bare
+    m.clean(T, policy(), NOW + timedelta(days=3000))
+    assert store.exists(a) and store.exists(b) and store.exists(snap["manifest-list"])

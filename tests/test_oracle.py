@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from icekeel import queries
+from icekeel import job_queries as queries
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events pages".split()
