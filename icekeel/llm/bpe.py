@@ -31,6 +31,8 @@ from icekeel.llm._common import trim
 
 #: Bytes of text in a unit, of word numbers in a row, and ids in a batch that goes back to Spark.
 UNIT_BYTES, ROW_WORDS, BATCH_IDS = 32 << 20, 1 << 18, 1 << 18
+#: Bytes of text for each bucket of words: what one task reads doesn't grow with all of them.
+BUCKET_BYTES = 128 << 20
 #: All that some library takes for white space or might drop; cuts are only made away from these.
 OTHERS = r"\x00-\x09\x0b-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 SPACES = f" \n{OTHERS}"
@@ -224,8 +226,9 @@ def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_i
     then, a function of Arrow batches as for mapInArrow, is applied where the ids come into being; schema is its result's.
     """
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     # One shuffle serves both readers, which differ only above it: a filter with rand() stays there.
     rows = narrow.mapInArrow(_numbered(blanks, buckets), TABLE).repartition(buckets, "dest")
     kind = F.col("kind") + F.rand(1)
@@ -341,32 +344,66 @@ def pieces(path: str) -> list[bytes]:
     return [bytes(char[c] for c in p) if all(c in char for c in p) else p.encode() for p in (table.get(i, "") for i in range(max(table) + 1))]
 
 
-def _rows(lists: pa.ListArray) -> Iterator[list[int] | None]:
-    """The lists as Python's, by way of one array."""
-    flat, edges, valid = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_valid().to_pylist()
-    for k, v in enumerate(valid):
-        yield flat[edges[k] : edges[k + 1]].tolist() if v else None
+class Pieces:
+    """The small side of a join of ids to byte strings: flat arrays, to which whole batches are joined by position."""
 
+    def __init__(self, table: list[bytes]):
+        self.size = np.array([len(p) for p in table] + [0], np.int64)
+        self.start, self.raw = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(table), np.uint8)
 
-def _text(ids: list[int] | None, of: dict[int, bytes]) -> str | None:
-    """The text that the pieces of ids make."""
-    return ids if ids is None else b"".join([of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+    def joined(self, lists: pa.ListArray) -> Iterator[bytes | None]:
+        """For each list of ids the pieces of its ids; an id that isn't there gives nothing."""
+        edges, valid = lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+        for first, last in chunks_of(edges, BATCH_IDS):
+            ids = lists.values.to_numpy()[edges[first] : edges[last]]
+            ids = np.where((ids < 0) | (ids >= len(self.size)), len(self.size) - 1, ids)
+            size = self.size[ids]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            raw = self.raw[np.arange(ends[-1]) + np.repeat(self.start[ids] - ends[:-1], size)].tobytes()
+            cuts = ends[edges[first : last + 1] - edges[first]].tolist()
+            for k in range(last - first):
+                yield raw[cuts[k] : cuts[k + 1]] if valid[first + k] else None
+
+
+def chunks_of(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges [first, last) of lists with some most values together; a longer list is a range of its own."""
+    first = 0
+    while first < len(edges) - 1:
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + most, "right")) - 1)
+        yield first, last
+        first = last
+
+
+@lru_cache(4)
+def vocabulary(path: str) -> Pieces:
+    return Pieces(pieces(path))
+
+
+def _utf8(raw: bytes) -> bytes:
+    """raw as the UTF-8 of the text that it decodes to, invalid bytes replaced."""
+    try:
+        raw.decode()
+        return raw
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+
+
+def _texts(lists: pa.ListArray, path: str) -> pa.Array:
+    return pa.array([raw if raw is None else raw.decode("utf-8", "replace") for raw in vocabulary(path).joined(lists)], pa.string())
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded with a column text: the pieces of ids, joined, as UTF-8 with invalid bytes replaced.
 
-    The vocabulary of the file is the small side of the join of ids to pieces: its size is fixed.
+    The vocabulary of the file is the small side of the join of ids to pieces, which every task holds: its size is fixed.
     Null ids give a null text, an empty array an empty one; special tokens are kept; other columns
     stay. An id outside the vocabulary gives nothing.
     """
     columns = [c for c in encoded.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = dict(enumerate(pieces(path)))
         for batch in batches:
-            out = [_text(ids, of) for ids in _rows(batch.column("ids"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.string())], [*columns, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), _texts(batch.column("ids"), path)], [*columns, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*columns).schema)
     return encoded.select(*columns).mapInArrow(run, f"{schema}, text string")
@@ -376,9 +413,8 @@ def with_text(path: str):
     """For encode(then=...): decodes where the ids come into being. The schema is doc_id long, ids array<int>, text string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = dict(enumerate(pieces(path)))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array([_text(ids, of) for ids in _rows(batch.column("ids"))], pa.string())], ["doc_id", "ids", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), _texts(batch.column("ids"), path)], ["doc_id", "ids", "text"])
 
     return run
 
@@ -390,14 +426,13 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def digests(path: str):
     """For encode(then=...): the number of ids, and digests of the decimal ids joined by commas and of the text that they decode to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, names = dict(enumerate(pieces(path))), [x.split()[0] for x in DIGESTS.split(", ")]
-        decimal = [str(i) for i in range(max(of) + 1)]
+        names, size = [x.split()[0] for x in DIGESTS.split(", ")], len(pieces(path))
+        decimal = Pieces([f"{i},".encode() for i in range(size)])
         for batch in batches:
-            counts, by_ids, by_text = [], [], []
-            for ids in _rows(batch.column("ids")):
-                counts.append(len(ids))
-                by_ids.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
-                by_text.append(hashlib.sha256(_text(ids, of).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(by_ids, pa.string()), pa.array(by_text, pa.string())], names)
+            lists = batch.column("ids")
+            counts = pc.cast(pc.list_value_length(lists), pa.int64())
+            by_ids = [hashlib.sha256(raw[:-1]).hexdigest() for raw in decimal.joined(lists)]
+            by_text = [hashlib.sha256(_utf8(raw)).hexdigest() for raw in vocabulary(path).joined(lists)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(by_ids, pa.string()), pa.array(by_text, pa.string())], names)
 
     return run

@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +90,11 @@ def within_radius(prints: DataFrame, radius: int, blocks: int | None = None) ->
     return a.join(b, "key").filter("a < b").select("a", "b").distinct().withColumn("distance", distance).filter(F.col("distance") <= radius)
 
 
+def _bucket(bounds: np.ndarray, keys):
+    """The buckets of ids, in descending order of ids; bounds holds complements, which can't overflow."""
+    return np.searchsorted(bounds, ~np.int64(keys) if np.isscalar(keys) else ~keys)
+
+
 def _dealt(bounds: np.ndarray, heads: dict[int, int]):
     """docs -> rows with fingerprint, compressed text and bucket; a bucket's head also goes to the bucket before."""
 
@@ -99,7 +105,7 @@ def _dealt(bounds: np.ndarray, heads: dict[int, int]):
                 rows = []
                 for i, t, f in zip(ids[start:end], all_texts[start:end], simhashes(all_texts[start:end]), strict=True):
                     raw, key = t.encode(), LEAST if i is None else i
-                    bucket = int(np.searchsorted(bounds, -key if i is not None else (1 << 63) - 1))
+                    bucket = int(_bucket(bounds, key))
                     row = (i, key, len(t), f, pa.compress(raw, codec="zstd", asbytes=True), len(raw))
                     rows.append((bucket, 0, *row))
                     if key in heads:
@@ -157,16 +163,19 @@ def edits(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("key"))
-    n = max(1, min(MOST_BUCKETS, ids.count() // BUCKET_ROWS))
-    cuts = docs.select((-F.col("doc_id").cast("double")).alias("x")).filter("x is not null").approxQuantile("x", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
+    n = max(1, min(MOST_BUCKETS, docs.count() // BUCKET_ROWS))
+    cuts = docs.select(F.bitwise_not("doc_id").cast("double").alias("x")).filter("x is not null").approxQuantile("x", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = np.array(sorted({int(c) for c in cuts}), np.int64)
-    # The same bucket in SQL: bounds below -key. Buckets' largest keys are bounded by MOST_BUCKETS.
-    bucket = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)), lambda b: b < -F.col("doc_id"))) if len(bounds) else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(bucket)
-    largest = sorted((r.bucket, r.key) for r in docs.select(bucket.alias("bucket"), F.coalesce("doc_id", F.lit(LEAST)).alias("key")).groupBy("bucket").agg(F.max("key").alias("key")).collect())
+
+    def largest_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pc.fill_null(batch.column(0), LEAST).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(bounds, keys)), pa.array(keys)], ["bucket", "key"])
+
+    # The largest id of each bucket: MOST_BUCKETS rows at most.
+    largest = sorted(map(tuple, docs.select("doc_id").mapInArrow(largest_ids, "bucket long, key long").groupBy("bucket").agg(F.max("key").alias("key")).collect()))
     heads = {key: largest[k - 1][0] for k, (_, key) in enumerate(largest)}
     rows = docs.mapInArrow(_dealt(bounds, heads), "bucket int, extra int, doc_id long, key long, n_chars long, print binary, blob binary, size long")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "extra", F.col("key").desc(), "print", "blob")
+    rows = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "extra", F.col("key").desc(), F.col("doc_id").desc_nulls_last(), "print", "blob")
     return rows.mapInArrow(_paired, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

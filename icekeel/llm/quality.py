@@ -60,16 +60,18 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of the non-decreasing least-squares fit of y on x (pool adjacent violators)."""
-    order = np.argsort(x, kind="stable")
+    """Points of the non-decreasing least-squares fit of y on x (pool adjacent violators); equal x are one point."""
+    at, of = np.unique(x, return_inverse=True)
+    weights = np.bincount(of, minlength=len(at)).astype(float)
+    means = np.bincount(of, y, len(at)) / np.maximum(weights, 1)
     blocks: list[list[float]] = []  # mean, weight, sum of x
-    for a, b in zip(x[order], y[order], strict=True):
-        blocks.append([b, 1.0, a])
+    for m, w, v in zip(means.tolist(), weights.tolist(), (at * weights).tolist(), strict=True):
+        blocks.append([m, w, v])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            m, w, s = blocks.pop()
+            m, w, v = blocks.pop()
             p = blocks[-1]
-            blocks[-1] = [(p[0] * p[1] + m * w) / (p[1] + w), p[1] + w, p[2] + s]
-    return np.array([s / w for _, w, s in blocks]), np.array([m for m, *_ in blocks])
+            blocks[-1] = [(p[0] * p[1] + m * w) / (p[1] + w), p[1] + w, p[2] + v]
+    return np.array([v / w for _, w, v in blocks]), np.array([m for m, *_ in blocks])
 
 
 @dataclass
@@ -96,15 +98,19 @@ def _fold(n: int = 5):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
-def fit(feats: DataFrame, labels: DataFrame, seed: int = 3) -> Model | None:
-    """A model from the labelled rows whose fold isn't 0, of FIT_ROWS rows at most; None without any.
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, y, fold) of labels of documents that are there, fold 0 left out: FIT_ROWS rows at most, the first by hash."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("y is not null and doc_id is not null")
+    known = known.withColumn("fold", _fold()).filter("fold <> 0").join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    return materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(FIT_ROWS))
+
+
+def fit(labelled: DataFrame, seed: int = 3) -> Model | None:
+    """A model from statistics and labels (x, y, fold) of FIT_ROWS rows or so; None without any.
 
-    Folds 2 to 4 give the normal equations, fold 1 the calibration. Contradicting labels of a
-    doc_id all count; rows without a label or doc_id don't.
+    Folds 2 to 4 give the normal equations, fold 1 the calibration.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).filter("y is not null and doc_id is not null")
-    rows = feats.join(known, "doc_id").withColumn("fold", _fold()).filter("fold <> 0").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(FIT_ROWS)
-    rows = materialize(rows.select("x", "y", "fold").repartition(FIT_PARTITIONS))
+    rows = materialize(labelled.select("x", "y", "fold").repartition(FIT_PARTITIONS))
     d = len(NAMES)
     moments = rows.select(F.count("*"), *(f(F.col("x")[i]) for i in range(d) for f in (F.avg, F.stddev_pop))).first()
     if not moments[0]:
@@ -126,7 +132,7 @@ def fit(feats: DataFrame, labels: DataFrame, seed: int = 3) -> Model | None:
     beta = np.linalg.solve(a + (RIDGE * max(1, sum(p.n for p in parts)) + 1e-9) * np.eye(FEATURES + 1), b)
     held = rows.filter("fold = 1").collect() or rows.collect()  # FIT_ROWS rows at most
     x, y = np.array([h.x for h in held], float), np.array([h.y for h in held], float)
-    at, level = isotonic(start.z(x) @ beta, y)
+    at, level = isotonic(np.round(start.z(x) @ beta, 9), y)  # equal statistics tie, whatever the order of sums
     return Model(mean, scale, start.weights, start.shift, beta, at, level)
 
 
@@ -134,10 +140,11 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted (1 if score >= CUT).
 
     A null text counts as empty and gets that score; without labelled rows every score is 0.5.
-    held_out of a null doc_id is null. Repeated rows repeat their result; other columns are ignored.
+    held_out of a null doc_id is null. Contradicting labels of a doc_id all count, and so does each text of an id
+    that repeats; rows without a label or doc_id don't. Repeated rows repeat their result; other columns are ignored.
     """
     feats = materialize(features(docs))
-    model = fit(feats, labels)
+    model = fit(feats.join(F.broadcast(sample(docs, labels)), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +156,14 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs whose score is CUT or more, with their columns as they are."""
-    model = fit(features(docs), labels)
+    """docs whose score is CUT or more, with their columns as they are.
+
+    Rows are judged by their own texts: null ids, null texts (as empty) and repeated ids like all others. Only
+    labelled documents are read for the fit.
+    """
+    known = sample(docs, labels)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fit(features(chosen).join(F.broadcast(known), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

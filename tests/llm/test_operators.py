@@ -230,6 +230,45 @@ def test_isotonic_is_the_least_squares_fit():
     assert level.min() >= y.min() and abs(quality.isotonic(np.arange(4.0), np.array([1.0, 0, 1, 1]))[1][0] - 0.5) < 1e-12
 
 
+def test_isotonic_pools_ties():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        x, y = r.integers(0, 8, 40).astype(float), r.integers(0, 2, 40).astype(float)
+        at, level = quality.isotonic(x, y)
+        assert (np.diff(at) > 0).all() and (np.diff(level) > 0).all()
+        # The plain rule: the fit at x is the largest over starts up to x of the smallest over ends from x of means.
+        v = sorted(set(x))
+        mean = lambda a, b: y[(x >= a) & (x <= b)].mean()
+        plain = [max(min(mean(a, b) for b in v if b >= c) for a in v if a <= c) for c in v]
+        assert np.allclose(sorted(set(np.round(plain, 9))), np.round(level, 9))
+
+
+def test_quality_is_what_plain_loops_give(spark):
+    """Statistics, features, ridge and calibration in one process, without partitions."""
+    r = random.Random(13)
+    texts = [None, "", *(" ".join(r.choices(WORDS, k=r.randint(1, 40))) + r.choice(["", "!!", " 99 $$"]) for _ in range(200)), *["tied text"] * 6]
+    labels = [(i, int("$" not in (t or "")) if i % 3 else 1) for i, t in enumerate(texts)] + [(7, 0)]
+    got = {x.doc_id: x.score for x in quality.scores(frame(spark, texts), spark.createDataFrame([(*p, 0) for p in labels], "doc_id long, quality int, toxic int")).collect()}
+    x = np.array([quality.statistics(t or "") for t in texts])
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in range(len(texts))}
+    known = [(x[i], y, fold[i]) for i, y in labels if fold[i]]
+    rows = np.array([k[0] for k in known])
+    mean, scale = rows.mean(0), np.maximum(rows.std(0), 1e-6)
+    rng = np.random.default_rng(3)
+    d = len(quality.NAMES)
+    weights, shift = rng.normal(0, 1 / np.sqrt(d), (d, quality.FEATURES)), rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = lambda v: np.hstack([np.sqrt(2 / quality.FEATURES) * np.cos(np.clip((v - mean) / scale, -6, 6) @ weights + shift), np.ones((len(v), 1))])
+    main = [(v, y) for v, y, f in known if f > 1]
+    a, b = z(np.array([v for v, _ in main])), np.array([y for _, y in main], float)
+    beta = np.linalg.solve(a.T @ a + (quality.RIDGE * len(main) + 1e-9) * np.eye(a.shape[1]), a.T @ b)
+    held = [(v, y) for v, y, f in known if f == 1]
+    at, level = quality.isotonic(np.round(z(np.array([v for v, _ in held])) @ beta, 9), np.array([y for _, y in held], float))
+    raw = z(x) @ beta
+    want = np.clip(0.999 * np.interp(raw, at, level) + 0.001 * np.clip(raw, 0, 1), 0, 1)
+    assert max(abs(got[i] - want[i]) for i in got) < 1e-3
+    assert len({got[i] for i in range(len(texts) - 6, len(texts))}) == 1
+
+
 def item_texts():
     r = random.Random(8)
     items = [" ".join(r.choices(WORDS, k=n)) for n in (40, 13, 9, 5, 1, 25)] + ["", None]
