@@ -7,20 +7,23 @@ snapshot for each slice. Each query has its table to itself in the shared folder
 from __future__ import annotations
 
 import json
+import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from icekeel.functions.paths import basename, identifier_like
+from icekeel.functions.paths import basename, identifier_like, memory_bytes
 from icekeel.operators import compaction
-from icekeel.plans.config import Compaction, Config, OrphanCleanup, Policy, SnapshotExpiry, DEFAULTS, merged, parse, policy_for
+from icekeel.plans.config import Compaction, DEFAULTS, Config, OrphanCleanup, Policy, SnapshotExpiry, merged, parse, policy_for
 from icekeel.plans.maintenance import Maintainer
+from icekeel.plans.metrics import Registry
+from icekeel.plans.retry import Conflict
 from icekeel.plans.scheduler import Scheduler
 from icekeel.plans.tables import append, current_files, live_paths, write_list, write_manifest
 from icekeel.queries import ORACLE, QUERIES, query, table
 from icekeel.sources import avro_ocf, parquet
-from icekeel.sources.catalog import FileCatalog, TableId, Transaction, current_snapshot
+from icekeel.sources.catalog import FileCatalog, GlueCatalog, TableId, Transaction
 from icekeel.sources.scratch import shared_dir
 from icekeel.sources.store import Store
 
@@ -273,3 +276,105 @@ def compact_bins_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     parquet.write_bins(spark, bins, f"{at}/out")
     written = spark.read.parquet(f"{at}/out").withColumn("file", F.col("_metadata.file_path"))
     return written.groupBy(F.col(parquet.BIN).alias("bin")).agg(F.count("*").alias("n_rows"), F.countDistinct("file").alias("n_files"), F.min("l_linenumber").alias("first_file"), F.max("l_linenumber").alias("last_file"))
+
+
+@query("SELECT r_name AS name, CAST(octet_length(encode(r_name || ' é')) AS BIGINT) AS size, r_name || ' é' AS content, r_regionkey % 2 = 1 AS there, r_regionkey % 2 = 0 AS gone FROM region")
+def store_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects that were written, measured and read, of which every other one was deleted with one that never was."""
+    store, at = Store(spark), shared_dir(spark, "objects")
+    regions = table(spark, sf_dir, "region").collect()  # a handful of rows
+    for r in regions:
+        store.write(f"{at}/{r.r_name}", f"{r.r_name} é".encode())
+    read = {r.r_name: (store.size(f"{at}/{r.r_name}"), store.read(f"{at}/{r.r_name}").decode()) for r in regions}
+    doomed = [f"{at}/{r.r_name}" for r in regions if r.r_regionkey % 2 == 0]
+    deleted, failed = store.delete_all([*doomed, f"{at}/never"])
+    if failed or deleted != len(doomed):
+        raise OSError(f"{deleted} of {len(doomed)} deleted, failed: {failed}")
+    there = {r.r_name: store.exists(f"{at}/{r.r_name}") for r in regions}
+    return spark.createDataFrame([(n, *read[n], there[n], not there[n]) for n in read], "name string, size long, content string, there boolean, gone boolean")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) * CAST(pow(1000, p_size % 5) AS BIGINT) END AS bytes FROM part")
+def memory_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory limits as they are written in configurations, in bytes; null where one isn't well-formed."""
+
+    def read(text: str) -> int | None:
+        try:
+            return memory_bytes(text)
+        except ValueError:
+            return None
+
+    unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), (F.col("p_size") % 5 + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.when(F.col("p_size") % 7 == 0, "-").otherwise(" "), unit).alias("text"))
+    known = spark.createDataFrame([(r.text, read(r.text)) for r in parts.select("text").distinct().collect()], "text string, bytes long")  # a row for each size
+    return parts.join(known, "text").select("p_partkey", "bytes")
+
+
+@query("SELECT name, tbl, n FROM (SELECT 'compaction_jobs_total' AS name, 't' || CAST(l_suppkey % 20 AS VARCHAR) AS tbl, CAST(count(DISTINCT l_linenumber) AS DOUBLE) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'compaction_files_merged_total', 't' || CAST(l_suppkey % 20 AS VARCHAR), CAST(count(*) AS DOUBLE) FROM lineitem GROUP BY 2) x")
+def metrics_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters after a job for each table and line number, as read from the metrics' text."""
+    registry = Registry()
+    for r in table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("t"), "l_linenumber").count().collect():  # 140 rows
+        registry.compaction(f"t{r.t}", r["count"], 2, 1, 0.5, True)
+    found = re.findall(r'^icekeel_(compaction_(?:jobs|files_merged)_total)\{(?:status="success",)?table="(\w+)"[^}]*\} (\S+)$', registry.text(), re.M)
+    return spark.createDataFrame([(n, t, float(v)) for n, t, v in found], "name string, tbl string, n double")
+
+
+@query("SELECT n_nationkey AS k, CASE WHEN n_nationkey % 3 = 0 THEN 'conflict' ELSE 'committed' END AS outcome, CAST(CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey ELSE 1000 + n_nationkey END AS BIGINT) AS current, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 1 WHEN n_nationkey % 3 = 1 THEN 2 ELSE 1 END AS BIGINT) AS snapshots FROM nation")
+def commit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transaction against each nation's table: a third expects another snapshot, a third also removes the old one."""
+    catalog, out = FileCatalog(Store(spark), shared_dir(spark, "catalog")), []
+    for n in table(spark, sf_dir, "nation").collect():  # a handful of rows
+        k, t = n.n_nationkey, TableId("all", f"n{n.n_nationkey}")
+        catalog.create(t, {"location": "x", "current-snapshot-id": k, "snapshots": [{"snapshot-id": k}]})
+        tx = Transaction().current_is(k if k % 3 else k + 1).add({"snapshot-id": 1000 + k, "sequence-number": 1})
+        try:
+            catalog.commit(t, tx.remove([k]) if k % 3 == 2 else tx)
+            outcome = "committed"
+        except Conflict:
+            outcome = "conflict"
+        meta = catalog.load(t)
+        out.append((k, outcome, meta["current-snapshot-id"], len(meta["snapshots"])))
+    return spark.createDataFrame(out, "k int, outcome string, current long, snapshots long")
+
+
+@query("SELECT 'j' || CAST(n_nationkey AS VARCHAR) AS job, CASE WHEN n_nationkey % 5 = 4 THEN 'left' WHEN n_nationkey % 4 = 0 THEN 'dropped' WHEN n_nationkey % 4 = 1 THEN 'inputs gone' WHEN n_nationkey % 4 = 2 THEN 'cleaned' ELSE 'left' END AS outcome FROM nation")
+def journal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What recovery makes of a journal for each nation, in all states; every fifth is of a process that may be at work still."""
+    m, location = _lake(spark)
+    meta = m.catalog.load(TABLE)
+    m.catalog.commit(TABLE, Transaction().current_is(None).add(append(m.store, meta, [], _ms(BASE))))
+    for n in table(spark, sf_dir, "nation").collect():  # a handful of rows
+        k = n.n_nationkey
+        entry = {"job_id": f"j{k}", "input_files": ["gone"], "output_files": [], "new_snapshot_id": 1000 + k, "state": ("pending", "uploaded", "snapshot_committed", "odd")[k % 4], "created_at": (NOW - timedelta(hours=1)).isoformat()}
+        m._journal(location, f"j{k}", entry | ({"owner": "another"} if k % 5 == 4 else {}))
+    return spark.createDataFrame(list(m.recover(TABLE, NOW).items()), "job string, outcome string")
+
+
+@query("SELECT lower(r_name) AS namespace, lower(n_name) AS name, CAST(n_nationkey + 1 AS BIGINT) AS current FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0")
+def glue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Databases and tables of this format from the Glue protocol, answered in memory, after a commit to each."""
+    store, at = Store(spark), shared_dir(spark, "glue")
+    entries: dict[str, dict[str, dict]] = {}
+    for r in table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).collect():  # a handful of rows
+        path, name = f"{at}/{r.n_name}/metadata/v1.metadata.json", r.n_name.lower()
+        store.write(path, json.dumps({"location": at, "current-snapshot-id": None, "snapshots": []}).encode())
+        entries.setdefault(r.r_name.lower(), {})[name] = {"Name": name, "VersionId": "0", "Parameters": {"table_type": "ICEBERG" if r.n_nationkey % 2 == 0 else "x", "metadata_location": path, "k": str(r.n_nationkey)}}
+
+    def call(action: str, request: dict) -> dict:
+        if action in ("GetDatabases", "GetTables"):
+            key, found = ("DatabaseList", [{"Name": n} for n in entries]) if action == "GetDatabases" else ("TableList", list(entries[request["DatabaseName"]].values()))
+            k = int(request.get("NextToken", 0))
+            return {key: found[k : k + 2]} | ({"NextToken": str(k + 2)} if k + 2 < len(found) else {})
+        own = entries[request["DatabaseName"]]
+        if action == "UpdateTable":
+            own[request["TableInput"]["Name"]] = request["TableInput"] | {"VersionId": str(int(request["VersionId"]) + 1)}
+            return {}
+        return {"Table": own[request["Name"]]}
+
+    catalog, out = GlueCatalog(call, store), []
+    for space in catalog.namespaces():
+        for t in catalog.tables(space):
+            catalog.commit(t, Transaction().current_is(None).add({"snapshot-id": int(entries[space][t.name]["Parameters"]["k"]) + 1, "sequence-number": 1}))
+            out.append((space, t.name, catalog.load(t)["current-snapshot-id"]))
+    return spark.createDataFrame(out, "namespace string, name string, current long")
