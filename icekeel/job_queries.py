@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.parse
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from icekeel.plans.scheduler import Scheduler
 from icekeel.plans.tables import append, current_files, live_paths, write_list, write_manifest
 from icekeel.queries import ORACLE, QUERIES, query, table
 from icekeel.sources import avro_ocf, parquet
-from icekeel.sources.catalog import FileCatalog, GlueCatalog, TableId, Transaction
+from icekeel.sources.catalog import FileCatalog, GlueCatalog, RestCatalog, TableId, Transaction, apply_updates
 from icekeel.sources.scratch import shared_dir
 from icekeel.sources.store import Store
 
@@ -378,3 +379,38 @@ def glue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
             catalog.commit(t, Transaction().current_is(None).add({"snapshot-id": int(entries[space][t.name]["Parameters"]["k"]) + 1, "sequence-number": 1}))
             out.append((space, t.name, catalog.load(t)["current-snapshot-id"]))
     return spark.createDataFrame(out, "namespace string, name string, current long")
+
+
+@query("SELECT lower(r_name) || '.deep' AS namespace, lower(n_name) AS name, CASE WHEN n_nationkey % 4 = 1 THEN 'conflict' ELSE 'committed' END AS outcome, CAST(CASE WHEN n_nationkey % 4 = 1 THEN 7 ELSE n_nationkey + 10 END AS BIGINT) AS current FROM nation JOIN region ON n_regionkey = r_regionkey")
+def rest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Namespaces, tables and commits through the REST protocol, answered in memory page by page; every fourth table has moved on."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).collect()  # a handful of rows
+    keys = {(r.r_name.lower(), r.n_name.lower()): r.n_nationkey for r in nations}
+    held = {k: {"current-snapshot-id": 7, "snapshots": [{"snapshot-id": 7}]} for k in keys}
+
+    class InMemory(RestCatalog):
+        def _call(self, method: str, path: str, body: dict | None = None) -> dict:
+            place, _, page = path.partition("?pageToken=")
+            parts, at = [urllib.parse.unquote(x) for x in place.split("/")[2:]], int(page or 0)
+            if len(parts) != 4:
+                space = parts[1].split("\x1f")[0] if len(parts) > 1 else None
+                found = [[s, "deep"] for s in sorted({s for s, _ in keys})] if space is None else [{"namespace": [s, "deep"], "name": n} for s, n in sorted(keys) if s == space]
+                return {"namespaces" if space is None else "identifiers": found[at : at + 2]} | ({"next-page-token": str(at + 2)} if at + 2 < len(found) else {})
+            key = parts[1].split("\x1f")[0], parts[3]
+            if method == "POST":
+                if any(r["snapshot-id"] != held[key]["current-snapshot-id"] for r in body["requirements"]):
+                    raise Conflict(path)
+                held[key] = apply_updates(held[key], Transaction([], body["updates"]))
+            return {"metadata": held[key]}
+
+    catalog, out = InMemory("http://memory"), []
+    for space in catalog.namespaces():
+        for t in catalog.tables(space):
+            k = keys[space.split(".")[0], t.name]
+            try:
+                catalog.commit(t, Transaction().current_is(8 if k % 4 == 1 else 7).add({"snapshot-id": k + 10, "sequence-number": 1}))
+                outcome = "committed"
+            except Conflict:
+                outcome = "conflict"
+            out.append((space, t.name, outcome, catalog.load(t)["current-snapshot-id"]))
+    return spark.createDataFrame(out, "namespace string, name string, outcome string, current long")
