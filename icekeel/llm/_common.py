@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from icekeel.sources.scratch import shared_dir
+
+#: Rows and bytes (as written) up to which a side of a join is broadcast; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Bytes of text that one step of a Python operator handles together.
 CHUNK_BYTES = 1 << 20
 
@@ -24,36 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (tests on one machine) a local folder is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="icekeel-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/icekeel-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends there, and lost executors lose nothing."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, "icekeel")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._icekeel_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any more."""
+def _files(df: DataFrame):
+    """(file system, path) of a materialized table."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._icekeel_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more."""
+    fs, path = _files(df)
+    fs.delete(path, True)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, already materialized, with a broadcast hint if it has limit rows at most."""
+    """df, already materialized, with a broadcast hint if it has limit rows and BROADCAST_BYTES on disk at most."""
+    if hasattr(df, "_icekeel_path"):
+        fs, path = _files(df)
+        if fs.getContentSummary(path).getLength() > BROADCAST_BYTES:
+            return df
     return F.broadcast(df) if df.count() <= limit else df
 
 

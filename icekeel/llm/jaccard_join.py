@@ -23,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import U64, chunks, drop, hash_words, materialize, mix64, shingle_hashes, sliced, small_side
+from icekeel.llm._common import U64, chunks, drop, hash_words, materialize, mix64, shingle_hashes, sliced, small_side, trim
 from icekeel.llm.components import connected_components
 
 #: Ratio of a size band's ends, and low bits of a key that name the band.
 BAND, BAND_BITS = 1.4, 6
 #: Bits of a whole set's sketch for each element by which sets of its band may differ.
 WIDTH = 6
+#: Keys of a run in which large buckets are looked for, and how often a key stands in it then.
+RUN_KEYS, HOT = 1 << 21, 512
 #: Words of sketches that comparing one cluster's members may touch; a larger cluster takes the other way.
 WORK = 1 << 25
 
@@ -135,6 +137,30 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             at += len(ws)
 
 
+def _hot_keys(run_keys: int, hot: int):
+    """Lists of keys -> the keys that stand hot times or more in a run of some run_keys keys of one task."""
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[counts >= hot])], ["key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy()
+            for at in range(0, len(values), run_keys):
+                held.append(values[at : at + run_keys])
+                n += len(held[-1])
+                if n >= run_keys:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
+        trim()
+
+    return run
+
+
 def _print_of(s: np.ndarray) -> tuple[int, int]:
     """128 bits by which equal sets are known."""
     return (int(np.add.reduce(mix64(s, 21)).view(np.int64)), int(np.add.reduce(mix64(s, 22)).view(np.int64))) if len(s) else (0, 0)
@@ -365,13 +391,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
     copies = materialize(narrow.filter("node <> rid").select("rid"))
     nodes = wide.filter(member).join(small_side(copies), "rid", "left_anti")
 
-    # Buckets of equal parts, and the members of those with more than two: the other ones are their smallest and largest.
+    # Clusters: the sets of every bucket of equal parts, by its smallest one. Buckets meet in one shuffle; those that
+    # are so large that they show in a run of keys are told apart, and their smallest sets found by partial aggregation.
     keys = nodes.select(F.explode("keys").alias("key"), F.col("rid").alias("node"))
-    buckets = materialize(keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).filter("pivot < last"))
-    large = materialize(buckets.filter("n > 2").select("key", "pivot"))
+    hot = materialize(wide.select("keys").mapInArrow(_hot_keys(RUN_KEYS, HOT), "key long").distinct())
     band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int").alias("band")
-    ends = buckets.select(band, "pivot", F.explode(F.array("pivot", "last")).alias("node"))
-    clusters = materialize(ends.union(keys.join(small_side(large), "key").select(band, "pivot", "node")).distinct())
+    bucket = Window.partitionBy("key")
+    rest = keys.join(small_side(hot), "key", "left_anti").select("key", "node", F.min("node").over(bucket).alias("pivot"), F.count("*").over(bucket).alias("n"))
+    shared = rest.filter("n > 1").select(band, "pivot", "node")
+    if hot.take(1):
+        own = keys.join(small_side(hot), "key")
+        least = materialize(own.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot"))
+        shared = shared.union(own.join(small_side(least), "key").select(band, "pivot", "node"))
+    clusters = materialize(shared.distinct())
 
     words = Bands(pct)
     width = F.element_at(F.array(*(F.lit(words.words(b)) for b in range(1 << BAND_BITS))), F.col("band") + 1)
@@ -387,7 +419,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
     links = materialize(whole.mapInArrow(_linking(pct), "a long, b long").distinct())
     if beyond.take(1):
         links = _in_large(materialize(clusters.join(small_side(beyond), ["band", "pivot"])), links, docs, narrow, pct, k)
-    for t in (buckets, large, clusters, met):
+    for t in (hot, clusters, met):
         drop(t)
 
     # An id whose texts differ links them.

@@ -58,15 +58,20 @@ def brute_components(texts, k, pct):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize(("k", "pct"), [(3, 90), (5, 80)])
-def test_jaccard_components(spark, k, pct):
+@pytest.mark.parametrize(("k", "pct", "hot", "work"), [(3, 90, None, None), (5, 80, None, None), (5, 80, 1, None), (5, 80, 3, 0)])
+def test_jaccard_components(spark, monkeypatch, k, pct, hot, work):
+    """Also with all buckets taken for large ones (hot), and all clusters (work)."""
+    monkeypatch.setattr(jaccard_join, "HOT", hot or jaccard_join.HOT)
+    monkeypatch.setattr(jaccard_join, "WORK", jaccard_join.WORK if work is None else work)
     texts = near_texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, texts), k, pct).collect()}
     assert got == brute_components(texts, k, pct)
 
 
-def test_jaccard_in_a_dense_group(spark):
+@pytest.mark.parametrize("work", [None, 0])
+def test_jaccard_in_a_dense_group(spark, monkeypatch, work):
     """Many near copies that share most parts, but of which few pairs reach the threshold."""
+    monkeypatch.setattr(jaccard_join, "WORK", jaccard_join.WORK if work is None else work)
     r = random.Random(4)
     base = r.choices(WORDS, k=150)
     texts = []
@@ -93,6 +98,23 @@ def test_equal_parts_never_miss():
                 assert np.intersect1d(jaccard_join.sketch_keys(a, bands), jaccard_join.sketch_keys(b, bands)).size
 
 
+def test_sketches_bound_the_difference():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        a = np.unique(r.integers(0, 2**63, int(r.integers(1, 300))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) > r.random()], r.integers(0, 2**63, int(r.integers(0, 40))).astype(np.uint64)]))
+        far = np.bitwise_count(jaccard_join.parity_sketch(a, 4) ^ jaccard_join.parity_sketch(b, 4)).sum()
+        assert far <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+
+
+def test_an_id_links_its_texts(spark):
+    r = random.Random(9)
+    one, two = (" ".join(r.choices(WORDS, k=60)) for _ in range(2))
+    docs = frame(spark, [one, two, one, two + " end", "alone"], [7, 7, 3, 9, 8])
+    got = sorted((x.doc_id, x.component_id) for x in jaccard_join.jaccard_components(docs).collect())
+    assert got == [(3, 3), (7, 3), (7, 3), (8, 8), (9, 3)]
+
+
 def test_jaccard_nulls_repeats_and_empty(spark):
     docs = frame(spark, ["a b c d e f g"] * 3 + ["z", None], [5, 5, 3, None, None])
     got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()), key=str)
@@ -388,6 +410,31 @@ def test_block_tables_find_all_within_radius(spark):
     assert [x.fingerprint for x in fingerprints.fingerprints(frame(spark, [None, ""])).collect()] == ["0" * 32] * 2
 
 
+def test_neighbours_of_queries(spark):
+    r = random.Random(16)
+    prints = [r.getrandbits(128) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in r.sample(range(128), k)) for p in prints[:20] for k in (1, 2, 3, 4, 5)]
+    prints += prints[:10] * 3
+    rows = [(k, f"{p:032x}") for k, p in enumerate(prints)] + [(999, None)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    for radius in (0, 1, 3, 7):
+        got = {x.fingerprint: x.n_within for x in fingerprints.neighbours(df, df.filter("doc_id % 5 = 0"), radius).collect()}
+        assert got == {f"{p:032x}": sum((p ^ q).bit_count() <= radius for q in prints) for p in prints[::5]}
+    with pytest.raises(ValueError):
+        fingerprints.neighbours(df, df, 3, 3)
+
+
+def test_edits_and_neighbours(spark):
+    r = random.Random(17)
+    texts = [None, "", *(" ".join(r.choices(WORDS, k=80)) for _ in range(60))]
+    texts += [texts[5], texts[5] + " more", texts[20]]
+    got = {x.doc_id: x for x in fingerprints.edits_and_neighbours(frame(spark, texts), radius=15, every=5).collect()}
+    prints = {i: int(x.fingerprint, 16) for i, x in got.items()}
+    assert len(got) == len(texts)
+    for i, x in got.items():
+        assert x.n_within == (None if i % 5 else sum(j != i and (p ^ prints[i]).bit_count() <= 15 for j, p in prints.items()))
+
+
 def test_blocks_round_trip_and_damage():
     r = np.random.default_rng(0)
     for n in (0, 1, 2, 300, 1000, 30000):
