@@ -16,12 +16,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import chunks, hash_words, mix64, sliced, texts
+from icekeel.llm._common import chunks, hash_words, materialize, mix64, sliced, small_side, texts
 
 #: Bits of a fingerprint, and weight of a word pair against a word.
 BITS, PAIR = 128, 2.0
 #: Rows of a bucket of neighbours, and buckets at most; their largest ids come to the driver.
 BUCKET_ROWS, MOST_BUCKETS = 2000, 20_000
+#: Parts in which the fingerprints of one block are compared.
+SALTS = 8
 LEAST = -(1 << 63)
 
 
@@ -90,6 +92,35 @@ def within_radius(prints: DataFrame, radius: int, blocks: int | None = None) ->
     return a.join(b, "key").filter("a < b").select("a", "b").distinct().withColumn("distance", distance).filter(F.col("distance") <= radius)
 
 
+def neighbours(prints: DataFrame, queries: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
+    """(fingerprint, n_within): for each fingerprint of queries, how many rows of prints are within radius bits of it, equal ones too.
+
+    The bits are cut into blocks (radius + 1 by default), of which one at least is equal in any such pair: one table
+    for each block has it in front as its key. A pair counts in the first table where it meets, so that
+    counts are summed where pairs are found and no pair is moved. Equal fingerprints count as one row with
+    their number; the tables' rows are salted, so that a key of many fingerprints is spread over tasks. Null fingerprints are ignored.
+    """
+    blocks = blocks or radius + 1
+    if blocks <= radius or BITS // 4 % blocks:
+        raise ValueError("blocks must be more than radius, and as long as each other")
+    size = BITS // 4 // blocks
+    words = [F.conv(F.substring("fingerprint", k + 1, 8), 16, 10).cast("long") for k in range(0, BITS // 4, 8)]
+    parts = F.array(*(F.substring("fingerprint", k * size + 1, size) for k in range(blocks)))
+    rows = prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n"))
+
+    def tabled(df: DataFrame, name: str, *columns) -> DataFrame:
+        """A row for each block."""
+        out = df.select("fingerprint", *columns, F.array(*words).alias("words"), parts.alias("parts"))
+        return out.select(F.col("fingerprint").alias(f"f_{name}"), *columns, F.col("words").alias(f"words_{name}"), F.col("parts").alias(f"parts_{name}"), F.posexplode("parts").alias("t", "key"))
+
+    base = tabled(rows, "b", "n").withColumn("salt", (F.xxhash64("f_b") % SALTS + SALTS) % SALTS)
+    asked = tabled(queries.filter("fingerprint is not null").select("fingerprint").distinct(), "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    distance = sum((F.bit_count(F.col("words_q")[k].bitwiseXOR(F.col("words_b")[k])) for k in range(len(words))), F.lit(0))
+    earlier = F.exists(F.sequence(F.lit(0), F.col("t")), lambda j: (j < F.col("t")) & (F.get("parts_q", j) == F.get("parts_b", j)))
+    met = asked.join(base, ["t", "key", "salt"]).filter((distance <= radius) & ~earlier)
+    return met.groupBy(F.col("f_q").alias("fingerprint")).agg(F.sum("n").alias("n_within"))
+
+
 def _bucket(bounds: np.ndarray, keys):
     """The buckets of ids, in descending order of ids; bounds holds complements, which can't overflow."""
     return np.searchsorted(bounds, ~np.int64(keys) if np.isscalar(keys) else ~keys)
@@ -179,3 +210,11 @@ def edits(docs: DataFrame) -> DataFrame:
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket", "extra", F.col("key").desc(), F.col("doc_id").desc_nulls_last(), "print", "blob")
     return rows.mapInArrow(_paired, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def edits_and_neighbours(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
+    """edits() with n_within: how many other rows have a fingerprint within radius bits, for ids divisible by every (else null)."""
+    rows = materialize(edits(docs))
+    found = materialize(neighbours(rows.select("fingerprint"), rows.filter(F.col("doc_id") % every == 0).select("fingerprint"), radius))
+    out = rows.join(small_side(found), "fingerprint", "left")
+    return out.select(*rows.columns, F.when(F.col("doc_id") % every == 0, F.col("n_within") - 1).alias("n_within"))

@@ -38,7 +38,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edits(table(spark, sf_dir, "documents"))
+    return fingerprints.edits_and_neighbours(table(spark, sf_dir, "documents"))
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
