@@ -60,7 +60,7 @@ SCOPES = frozenset("body div section article main aside nav header footer form t
 @dataclass
 class Node:
     tag: str
-    #: Labels from the first element on, parted by >; a label ends in * where the element is marked as an article.
+    #: Labels from the first element on, parted by >; a label ends in * where the element is marked as an article, in ~ where as noise.
     path: str
     parent: Node | None
     noise: bool
@@ -79,10 +79,10 @@ def _names(value: str) -> list[str]:
 def _node(tag: str, attributes: str, parent: Node) -> Node:
     given = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
     main = tag in ("article", "main") or given.get("role") == "main" or given.get("itemprop", "").lower() == "articlebody"
-    label = tag + "".join(f".{c}" for c in sorted(re.sub(r"[\d>*]+", "", given.get("class", "")).split())) + (f"#{re.sub(r'[0-9>*]+', '', given['id'])}" if given.get("id") else "") + "*" * main
     names = set(_names(given.get("class", "")) + _names(given.get("id", "")))
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
     noise = hidden or tag in NOISE_TAGS or given.get("role") in NOISE_ROLES or bool(names & NOISE_WORDS) or (tag == "header" and not parent.inside)
+    label = tag + "".join(f".{c}" for c in sorted(re.sub(r"[\d>*~]+", "", given.get("class", "")).split())) + (f"#{re.sub(r'[0-9>*~]+', '', given['id'])}" if given.get("id") else "") + "*" * main + "~" * noise
     path = parent.path if parent.depth >= DEPTH else f"{parent.path}>{label}" if parent.path else label
     return Node(tag, path, parent, noise, main, parent.depth + 1, main or parent.inside)
 
@@ -257,7 +257,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     A site is a host with LEAST_PAGES distinct pages or more; all other hosts are the site "". Presentation and density
     (content by word) are between 0 (the same on all pages) and 1 (different on each); share is that of the
-    site's content. Pages of a host with equal html count once, so copies of a page don't make it look like boilerplate.
+    site's content outside what names mark as noise. Pages of a host with equal html count once, so copies of a page don't make it look like boilerplate.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,12 +283,13 @@ def style_tree(pages: DataFrame) -> DataFrame:
     # A text on c of all pages has the entropy log(c) to the base of all. Leaves add up to all that they stand in.
     weight = 1 - F.log(F.least("c", "all").cast("double")) / F.log(F.greatest("all", F.lit(2)).cast("double"))
     leaves = values.filter("text").join(small_side(sites), "site").groupBy("site", "path").agg(F.sum("words").alias("words"), F.sum(F.col("words") * weight).alias("content"))
+    leaves = leaves.withColumn("quiet", F.when(F.contains("path", F.lit("~")), 0.0).otherwise(F.col("content")))
     labels = F.split("path", ">")
     above = F.when(F.col("path") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), ">")))
-    sums = materialize(leaves.select("site", F.explode(above).alias("path"), "words", "content").groupBy("site", "path").agg(F.sum("words").alias("words"), F.sum("content").alias("content")))
-    totals = materialize(sums.filter("path = ''").select("site", F.col("content").alias("total")))
+    sums = materialize(leaves.select("site", F.explode(above).alias("path"), "words", "content", "quiet").groupBy("site", "path").agg(F.sum("words").alias("words"), F.sum("content").alias("content"), F.sum("quiet").alias("quiet")))
+    totals = materialize(sums.filter("path = ''").select("site", F.col("quiet").alias("total")))
     tree = styles.join(sums, ["site", "path"]).join(small_side(totals), "site")
-    return tree.select("site", "path", "n_pages", "presentation", "words", "content", (F.col("content") / F.col("words")).alias("density"), F.when(F.col("total") > 0, F.col("content") / F.col("total")).otherwise(0.0).alias("share"))
+    return tree.select("site", "path", "n_pages", "presentation", "words", "content", (F.col("content") / F.col("words")).alias("density"), F.when(F.col("total") > 0, F.col("quiet") / F.col("total")).otherwise(0.0).alias("share"))
 
 
 def verdicts(tree: DataFrame) -> DataFrame:
@@ -299,8 +300,8 @@ def verdicts(tree: DataFrame) -> DataFrame:
     (LEAST_PAGES at least); where nothing is marked as an article, one without them too.
     """
     tree = materialize(tree)
-    tag = F.regexp_extract("path", r"([^>.#*]*)[^>]*$", 1)
-    mains = tree.filter((F.col("share") > 0.5) & ~F.array_contains(F.split(F.lit(TEXTUAL), " "), tag) & ~F.contains("path", F.lit("*>")))
+    tag = F.regexp_extract("path", r"([^>.#*~]*)[^>]*$", 1)
+    mains = tree.filter((F.col("share") > 0.5) & ~F.array_contains(F.split(F.lit(TEXTUAL), " "), tag) & ~F.contains("path", F.lit("*>")) & ~F.contains("path", F.lit("~")))
     mains = materialize(mains.groupBy("site").agg(F.max_by("path", F.length("path")).alias("main"), F.min("content").alias("held")))
     at = F.concat("path", F.lit(">"))
     to = F.when(F.col("main") == "", "").otherwise(F.concat("main", F.lit(">")))
@@ -309,7 +310,7 @@ def verdicts(tree: DataFrame) -> DataFrame:
     heading = (tag == "h1") & (F.col("density") >= 0.5)
     alike = (F.greatest("presentation", "density") < LOW) & (F.col("n_pages") >= LEAST_PAGES)
     named = F.regexp_extract("path", r"([^>]*)$", 1).rlike(r"[.#]") | ~F.contains("path", F.lit("*"))
-    inside = F.startswith(at, to) & (F.col("path") != F.col("main")) & ~F.endswith("path", F.lit("*"))
+    inside = F.startswith(at, to) & (F.col("path") != F.col("main")) & ~F.regexp_extract("path", r"([^>]*)$", 1).contains("*")
     both = tree.join(small_side(mains), "site")
     low = both.filter((F.col("path") != "") & ((beside & (F.col("content") < LOW * F.col("held")) & ~heading) | (inside & named & alike)))
     return low.select("site", "path", F.lit(False).alias("main")).union(mains.select("site", F.col("main").alias("path"), F.lit(True)))

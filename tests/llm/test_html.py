@@ -71,7 +71,7 @@ def plain_tree(pages):
             for path, value, words in page:
                 c = counts[path, value, words > 0]
                 c[0], c[1] = c[0] + 1, c[1] + words
-        words, content = defaultdict(float), defaultdict(float)
+        words, content, quiet = defaultdict(float), defaultdict(float), defaultdict(float)
         for (path, _, text), (c, w) in counts.items():
             if text:
                 parts = path.split(">") if path else []
@@ -79,16 +79,18 @@ def plain_tree(pages):
                     at = ">".join(parts[:k])
                     words[at] += w
                     content[at] += w * (1 - math.log(c) / math.log(max(m, 2)))
+                    quiet[at] += 0 if "~" in path else w * (1 - math.log(c) / math.log(max(m, 2)))
         for path in words:
             same = [c for (p, _, text), (c, _) in counts.items() if p == path and not text]
             n = sum(same)
-            out[site, path] = (n, 1 - sum(c * math.log(c) for c in same) / n / math.log(max(n, 2)), words[path], content[path], content[path] / content[""] if content[""] else 0.0)
+            out[site, path] = (n, 1 - sum(c * math.log(c) for c in same) / n / math.log(max(n, 2)), words[path], content[path], quiet[path] / quiet[""] if quiet[""] else 0.0)
     return out
 
 
 def test_style_tree_is_what_plain_loops_give(spark):
     r = random.Random(5)
     pages = [(f"http://h{s}.example/{k}", nameless(r, f"h{s}", k)[0]) for s, n in enumerate((12, 8, 7, 2)) for k in range(n)]
+    pages = [(u, p.replace("class=b>", "class=comments>") if k % 2 else p) for k, (u, p) in enumerate(pages)]
     pages += [("http://h0.example/x", pages[0][1]), ("http://h3.example/y", "")]
     got = {(x.site, x.path): x for x in html_text.style_tree(frame(spark, [(i, *p) for i, p in enumerate(pages)])).collect()}
     want = plain_tree(pages)
@@ -112,6 +114,16 @@ def test_style_tree_drops_what_all_pages_share(spark, monkeypatch, bound):
     assert got[3] == "Story 3 goes on" and got[50] == "Same on all pages\nStory x goes on"
 
 
+def test_comments_are_not_the_main_node(spark):
+    """However long the comments are, and wherever they stand."""
+    r = random.Random(8)
+    words = lambda n: " ".join(r.choices(WORDS, k=n))
+    made = [(words(30), words(200)) for _ in range(12)]
+    page = "<body><div class=post><h1>T {k}</h1><p>{a}</p></div><div class=box><div class=comments><p>{b}</p></div></div></body>"
+    got = html_text.extract(frame(spark, [(k, f"http://h/{k}", page.format(k=k, a=a, b=b)) for k, (a, b) in enumerate(made)])).collect()
+    assert {x.page_id: x.text for x in got} == {k: f"T {k}\n{a}" for k, (a, _) in enumerate(made)}
+
+
 def test_marked_articles():
     text = lambda page, *a: html_text.blocks(html_text.parse(page), *a)
     assert text("<main><p>whole</p><article>one</article><article>two</article></main>") == ["one"]
