@@ -29,8 +29,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from icekeel.llm._common import trim
 
-#: Bytes of text in a unit, of word numbers in a row, and ids in a batch that goes back to Spark.
-UNIT_BYTES, ROW_WORDS, BATCH_IDS = 32 << 20, 1 << 18, 1 << 18
+#: Bytes of text in a unit (twice that where nothing is shuffled), of word numbers in a row, and ids in a batch that goes back to Spark.
+UNIT_BYTES, ROW_WORDS, BATCH_IDS = 16 << 20, 1 << 18, 1 << 18
+#: Bytes of text that are split together.
+SPLIT_BYTES = 2 << 20
 #: Bytes of text for each bucket of words: what one task reads doesn't grow with all of them.
 BUCKET_BYTES = 128 << 20
 #: All that some library takes for white space or might drop; cuts are only made away from these.
@@ -56,13 +58,8 @@ def tokenizer(path: str):
     return t
 
 
-def numbered(column: pa.Array, blanks: bool) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-    """(order, words, numbers, sizes): the distinct words of texts, and each text's words by number.
-
-    The texts come in another order: order has their places in column, sizes how many words each has.
-    blanks: a blank belongs to the word after it, as byte-level BPE has it; otherwise white space
-    between words is dropped, as by tokenizers that ignore it.
-    """
+def _split(column: pa.Array, blanks: bool) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+    """(order, words, sizes) of some texts, as for numbered()."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     odd = pc.match_substring_regex(column, ODD)
     plain = column.filter(pc.invert(odd))
@@ -75,21 +72,41 @@ def numbered(column: pa.Array, blanks: bool) -> tuple[np.ndarray, pa.Array, np.n
     words = pa.concat_arrays([lists.flatten().cast(pa.large_string()), pa.array([w for ws in others for w in ws], pa.large_string())]).dictionary_encode()
     sizes = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(ws) for ws in others], np.int64)])
     at = odd.to_numpy(zero_copy_only=False)
-    return np.concatenate([np.flatnonzero(~at), np.flatnonzero(at)]), words.dictionary, words.indices.to_numpy().astype(np.uint32), sizes
+    return np.concatenate([np.flatnonzero(~at), np.flatnonzero(at)]), words, sizes
+
 
+def numbered(column: pa.Array, blanks: bool) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(order, words, numbers, sizes): the distinct words of texts, and each text's words by number.
 
-def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows (doc_id, text) with some UNIT_BYTES of text."""
+    The texts come in another order: order has their places in column, sizes how many words each has.
+    blanks: a blank belongs to the word after it, as byte-level BPE has it; otherwise white space
+    between words is dropped, as by tokenizers that ignore it. Texts are split some SPLIT_BYTES at a time.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    order, words, sizes = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+    for first, last in chunks_of(np.concatenate([[0], ends]), SPLIT_BYTES):
+        o, w, n = _split(column[first:last], blanks)
+        order.append(o + first)
+        words.append(w)
+        sizes.append(n)
+    if not words:
+        return order[0], pa.array([], pa.large_string()), np.zeros(0, np.uint32), sizes[0]
+    parts = pa.chunked_array(words).unify_dictionaries().chunks
+    return np.concatenate(order), parts[0].dictionary, np.concatenate([x.indices.to_numpy().astype(np.uint32) for x in parts]), np.concatenate(sizes)
+
+
+def units(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Runs of rows (doc_id, text) with some most bytes of text."""
     held, size = [], 0
     for batch in batches:
         at = 0
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         while at < batch.num_rows:
             before = int(ends[at - 1]) if at else 0
-            end = min(batch.num_rows, int(np.searchsorted(ends, before + UNIT_BYTES - size)) + 1)
+            end = min(batch.num_rows, int(np.searchsorted(ends, before + most - size)) + 1)
             held.append(batch.slice(at, end - at))
             size, at = size + int(ends[end - 1]) - before, end
-            if size >= UNIT_BYTES:
+            if size >= most:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
     if held:
@@ -123,7 +140,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["dest", "unit", "kind", "seq", "ids", "counts", "blob", "size"])
 
 
-def _numbered(blanks: bool, buckets: int):
+def _numbered(blanks: bool, buckets: int, most: int):
     """docs -> rows of kind 1 (documents as word numbers, for dest unit) and kind 0 (a unit's words of one bucket, for dest bucket)."""
 
     def flush(unit: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -151,10 +168,10 @@ def _numbered(blanks: bool, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 24
-        for unit, t in enumerate(units(batches), first):
+        for unit, t in enumerate(units(batches, most), first):
             yield from flush(unit, t)
             t = None
-        trim()
+            trim()
 
     return run
 
@@ -216,7 +233,7 @@ def _placed(docs: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from _gathered(pa.array(r["ids"], pa.int64()), ends, _from_planes(_unpack(r["blob"], r["size"])), table, starts, length)
 
 
-def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
+def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_id", text_col: str = "text", then=None, schema: str = "doc_id long, ids array<int>", unit_bytes: int = 0) -> DataFrame:
     """(doc_id, ids: array<int>) of every row of docs, as the tokenizers library encodes its whole text.
 
     path names the tokenizer's file on every executor; blanks tells whether its words start with
@@ -230,7 +247,7 @@ def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_i
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     # One shuffle serves both readers, which differ only above it: a filter with rand() stays there.
-    rows = narrow.mapInArrow(_numbered(blanks, buckets), TABLE).repartition(buckets, "dest")
+    rows = narrow.mapInArrow(_numbered(blanks, buckets, unit_bytes or UNIT_BYTES), TABLE).repartition(buckets, "dest")
     kind = F.col("kind") + F.rand(1)
     words = rows.filter(kind < 1).sortWithinPartitions("seq", "unit").mapInArrow(_encoded(path), TABLE)
     empty = spark.createDataFrame([], schema).schema
@@ -319,13 +336,14 @@ def encode_by_unit(docs: DataFrame, path: str, blanks: bool = True, tails: str =
     """
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in units(batches):
+        for t in units(batches, 2 * UNIT_BYTES):
             order, words, numbers, sizes = numbered(_chunk(t.column(1)), blanks)
             rows = np.concatenate([[0], np.cumsum(sizes)])
             if tails:
                 words, numbers, rows = _parted(words, numbers, rows, tails)
             yield from _gathered(_chunk(t.column(0)).take(pa.array(order)), rows, numbers, *_ids_of(words, path))
-        trim()
+            t = words = numbers = None
+            trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from then(encoded(batches)) if then else encoded(batches)

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import U64, chunks, hash_words, materialize, mix64, small_side, texts
+from icekeel.llm._common import U64, chunks, hash_words, materialize, mix64, sliced, small_side, texts
 
 #: Masks over windows of words: 1 counts, 0 is ignored. Every run that counts has a window where one of them sees no substitution.
 MASKS = ("1101100101", "1010011011", "111001011", "1011111", "111111")
@@ -154,7 +154,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND_SEEDS
     index = Index([(r.item_id, r.text) for r in items.collect()])  # bound seeds at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("doc_id").to_pylist()
             yield _rows([(ids[i], *m) for i, h in _hashed(batch.column("text")) for m in index.matches(h)], MATCH_SCHEMA)
 
@@ -185,7 +185,7 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     shapes = sorted({s for r in items.mapInArrow(lengths, "n long").distinct().collect() for s in _shapes(r.n)})  # LEAST_WORDS + 1 rows at most
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column(ROW).to_pylist()
             for i, h in _hashed(batch.column("text")):
                 found = [seeds(h, s).view(np.int64) for s in shapes] or [np.zeros(0, np.int64)]
@@ -223,7 +223,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND_SEEDS)
     index = Index([(r.item_id, r.text) for r in items.collect()])  # bound seeds at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([not index.matches(h) for _, h in _hashed(batch.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

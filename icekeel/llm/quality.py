@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import materialize
+from icekeel.llm._common import materialize, sliced
 
 #: Labelled rows that a fit takes at most: the first by hash of doc_id.
 FIT_ROWS = 200_000
@@ -53,7 +53,7 @@ def features(docs: DataFrame) -> DataFrame:
     """(doc_id, x: array<double>) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_matrix(batch.column(1))), pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
@@ -166,7 +166,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(features(chosen).join(F.broadcast(known), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array((model.score(_matrix(batch.column("text"))) >= CUT) if batch.num_rows else [], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema) if model else docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import texts
+from icekeel.llm._common import sliced, texts
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -245,7 +245,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [secrets(t) for t in texts(batch.column(1))]
             counts = [pa.array([sum(k == kind for *_, k in s) for s in found], pa.int64()) for kind in KINDS]
             base = [hashlib.sha256(_named([x for x in s if x[2] != "markov"]).encode()).hexdigest() for s in found]
@@ -268,7 +268,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with secrets in text redacted and n_chars, if there, brought in line; null texts stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             old = batch.column("text").to_pylist()
             new = [t and redacted(t) for t in old]
             columns = {n: batch.column(n) for n in batch.schema.names}

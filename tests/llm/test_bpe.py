@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from pyspark.sql import Row
 
 from icekeel.llm import bpe
@@ -20,7 +21,9 @@ def library(path: str, texts: list) -> list[list[int]]:
     return [e.ids for e in bpe.tokenizer(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
-def test_splits_encode_alike():
+@pytest.mark.parametrize("split", [bpe.SPLIT_BYTES, 40])
+def test_splits_encode_alike(monkeypatch, split):
+    monkeypatch.setattr(bpe, "SPLIT_BYTES", split)
     all_texts = [*odd_texts(), None, "two lines\nof plain words", "one", "a b\nc d\ne"]
     for path, blanks in ((BYTE, True), (WORD, False)):
         want = library(path, all_texts)
@@ -33,11 +36,10 @@ def test_splits_encode_alike():
             at += n
 
 
-def test_units_cover_all_rows(monkeypatch):
-    monkeypatch.setattr(bpe, "UNIT_BYTES", 10)
+def test_units_cover_all_rows():
     rows = [(k, "x" * (k * 7 % 23) if k % 5 else None) for k in range(60)]
     batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows[a:b]]), pa.array([t for _, t in rows[a:b]], pa.string())], ["doc_id", "text"]) for a, b in ((0, 1), (1, 1), (1, 33), (33, 60))]
-    got = list(bpe.units(iter(batches)))
+    got = list(bpe.units(iter(batches), 10))
     assert [tuple(r.values()) for t in got for r in t.to_pylist()] == rows
     assert all(sum(len(x or "") for x in t.column("text").to_pylist()[:-1]) < 10 for t in got) and len(got) > 20
 
