@@ -43,7 +43,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All other columns end here.
     """
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.encode(docs, path, then=bpe.with_text(path), schema="doc_id long, ids array<int>, text string")
+    return bpe.encode(docs, path, then=bpe.with_text(path), schema="doc_id long, ids array<int>, text string", unit_bytes=8 << 20)
 
 
 STAGES = [("quality", good), ("near_duplicates", single), ("decontamination", clean), ("secrets", safe), ("bpe", encoded)]
