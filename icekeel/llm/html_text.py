@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import materialize, small_side, texts
+from icekeel.llm._common import batched, materialize, small_side, texts
 
 #: Distinct pages of a host that has a tree of its own, and of a node that is judged as alike on all of them.
 LEAST_PAGES = 8
@@ -270,25 +270,25 @@ def style_tree(pages: DataFrame) -> DataFrame:
     rows = pages.select(_host().alias("host"), F.xxhash64("html").alias("page"), "html").mapInArrow(run, "host string, page long, path string, value long, words long")
     rows = materialize(rows.distinct())
     # Every page has its root's row.
-    large = materialize(rows.filter("path = '' and words = 0").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host", F.lit(True).alias("own")))
-    rows = rows.join(small_side(large), "host", "left").withColumn("site", F.when(F.col("own"), F.col("host")).otherwise(""))
+    large = rows.filter("path = '' and words = 0").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host", F.lit(True).alias("own"))
+    rows = rows.join(large, "host", "left").withColumn("site", F.when(F.col("own"), F.col("host")).otherwise(""))
     values = materialize(rows.groupBy("site", "path", "value", (F.col("words") > 0).alias("text")).agg(F.count("*").alias("c"), F.sum("words").alias("words")))
 
     # The entropy of child tags: 1 less the mean of the log of how many pages share theirs, to the base of all.
     base = F.log(F.greatest("n_pages", F.lit(2)).cast("double"))
     styles = values.filter("not text").groupBy("site", "path").agg(F.sum("c").alias("n_pages"), (F.sum(F.col("c") * F.log("c")) / F.sum("c")).alias("shared"))
     styles = styles.select("site", "path", "n_pages", (1 - F.col("shared") / base).alias("presentation"))
-    sites = materialize(styles.filter("path = ''").select("site", F.col("n_pages").alias("all")))
+    sites = styles.filter("path = ''").select("site", F.col("n_pages").alias("all"))
 
     # A text on c of all pages has the entropy log(c) to the base of all. Leaves add up to all that they stand in.
     weight = 1 - F.log(F.least("c", "all").cast("double")) / F.log(F.greatest("all", F.lit(2)).cast("double"))
-    leaves = values.filter("text").join(small_side(sites), "site").groupBy("site", "path").agg(F.sum("words").alias("words"), F.sum(F.col("words") * weight).alias("content"))
+    leaves = values.filter("text").join(sites, "site").groupBy("site", "path").agg(F.sum("words").alias("words"), F.sum(F.col("words") * weight).alias("content"))
     leaves = leaves.withColumn("quiet", F.when(F.contains("path", F.lit("~")), 0.0).otherwise(F.col("content")))
     labels = F.split("path", ">")
     above = F.when(F.col("path") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(labels)), lambda n: F.array_join(F.slice(labels, F.lit(1), n), ">")))
-    sums = materialize(leaves.select("site", F.explode(above).alias("path"), "words", "content", "quiet").groupBy("site", "path").agg(F.sum("words").alias("words"), F.sum("content").alias("content"), F.sum("quiet").alias("quiet")))
-    totals = materialize(sums.filter("path = ''").select("site", F.col("quiet").alias("total")))
-    tree = styles.join(sums, ["site", "path"]).join(small_side(totals), "site")
+    sums = leaves.select("site", F.explode(above).alias("path"), "words", "content", "quiet").groupBy("site", "path").agg(F.sum("words").alias("words"), F.sum("content").alias("content"), F.sum("quiet").alias("quiet"))
+    totals = sums.filter("path = ''").select("site", F.col("quiet").alias("total"))
+    tree = styles.join(sums, ["site", "path"]).join(totals, "site")
     return tree.select("site", "path", "n_pages", "presentation", "words", "content", (F.col("content") / F.col("words")).alias("density"), F.when(F.col("total") > 0, F.col("quiet") / F.col("total")).otherwise(0.0).alias("share"))
 
 
@@ -302,7 +302,7 @@ def verdicts(tree: DataFrame) -> DataFrame:
     tree = materialize(tree)
     tag = F.regexp_extract("path", r"([^>.#*~]*)[^>]*$", 1)
     mains = tree.filter((F.col("share") > 0.5) & ~F.array_contains(F.split(F.lit(TEXTUAL), " "), tag) & ~F.contains("path", F.lit("*>")) & ~F.contains("path", F.lit("~")))
-    mains = materialize(mains.groupBy("site").agg(F.max_by("path", F.length("path")).alias("main"), F.min("content").alias("held")))
+    mains = mains.groupBy("site").agg(F.max_by("path", F.length("path")).alias("main"), F.min("content").alias("held"))
     at = F.concat("path", F.lit(">"))
     to = F.when(F.col("main") == "", "").otherwise(F.concat("main", F.lit(">")))
     parent = F.regexp_replace("path", r">?[^>]*$", "")
@@ -311,7 +311,7 @@ def verdicts(tree: DataFrame) -> DataFrame:
     alike = (F.greatest("presentation", "density") < LOW) & (F.col("n_pages") >= LEAST_PAGES)
     named = F.regexp_extract("path", r"([^>]*)$", 1).rlike(r"[.#]") | ~F.contains("path", F.lit("*"))
     inside = F.startswith(at, to) & (F.col("path") != F.col("main")) & ~F.regexp_extract("path", r"([^>]*)$", 1).contains("*")
-    both = tree.join(small_side(mains), "site")
+    both = tree.join(mains, "site")
     low = both.filter((F.col("path") != "") & ((beside & (F.col("content") < LOW * F.col("held")) & ~heading) | (inside & named & alike)))
     return low.select("site", "path", F.lit(False).alias("main")).union(mains.select("site", F.col("main").alias("path"), F.lit(True)))
 
@@ -323,7 +323,7 @@ def extract(pages: DataFrame) -> DataFrame:
     html gives an empty text; a page without a host (a null url) is judged with those of small hosts. Of articles
     with equally much text the first counts. Repeated rows repeat their result; other columns are ignored.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    pages = batched(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     found = materialize(verdicts(style_tree(pages)))
     few = found.count() <= BOUND_LOW
     mains: dict[str, str] = {}
