@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from icekeel.llm._common import trim
+from icekeel.llm._common import batched, trim
 
 #: Bytes of text in a unit (twice that where nothing is shuffled), of word numbers in a row, and ids in a batch that goes back to Spark.
 UNIT_BYTES, ROW_WORDS, BATCH_IDS = 16 << 20, 1 << 18, 1 << 18
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, path: str, blanks: bool = True, id_col: str = "doc_i
     then, a function of Arrow batches as for mapInArrow, is applied where the ids come into being; schema is its result's.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     # One shuffle serves both readers, which differ only above it: a filter with rand() stays there.
@@ -348,7 +348,7 @@ def encode_by_unit(docs: DataFrame, path: str, blanks: bool = True, tails: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from then(encoded(batches)) if then else encoded(batches)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 @lru_cache(4)

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import U64, chunks, hash_words, materialize, mix64, sliced, small_side, texts
+from icekeel.llm._common import U64, batched, chunks, hash_words, materialize, mix64, sliced, small_side, texts
 
 #: Masks over windows of words: 1 counts, 0 is ignored. Every run that counts has a window where one of them sees no substitution.
 MASKS = ("1101100101", "1010011011", "111001011", "1011111", "111111")
@@ -148,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND_SEEDS
     match nothing; null ids of documents come back as null, those of items are left out. Repeated rows of
     docs repeat their result, repeated items count once. Other columns are ignored.
     """
-    docs, items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _items(benchmark)
+    docs, items = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _items(benchmark)
     if _n_seeds(items) > bound:
         return _joined(_keyed(docs), items).drop(ROW)
     index = Index([(r.item_id, r.text) for r in items.collect()])  # bound seeds at most
@@ -215,7 +215,7 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, bound: int = BOUND_SEEDS) -> DataFrame:
     """docs without those that overlap an item, with their columns as they are."""
-    items = _items(benchmark)
+    docs, items = batched(docs), _items(benchmark)
     if _n_seeds(items) > bound:
         rows = _keyed(docs)
         hit = materialize(_joined(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"), "text"), items).select(ROW).distinct())

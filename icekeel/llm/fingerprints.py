@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import chunks, hash_words, materialize, mix64, sliced, small_side, texts
+from icekeel.llm._common import batched, chunks, hashed_texts, materialize, mix64, sliced, small_side, texts
 
 #: Bits of a fingerprint, and weight of a word pair against a word.
 BITS, PAIR = 128, 2.0
@@ -49,15 +49,7 @@ def simhash(words: np.ndarray) -> bytes:
 
 def simhashes(all_texts: list[str]) -> list[bytes]:
     """Fingerprints of texts; words are what ASCII white space separates, after lower-casing A-Z."""
-    out = []
-    raw = [t.encode().lower() for t in all_texts]
-    for a, b in chunks(raw):
-        words = [t.split() for t in raw[a:b]]
-        hashes, at = hash_words([w for ws in words for w in ws]), 0
-        for ws in words:
-            out.append(simhash(hashes[at : at + len(ws)]))
-            at += len(ws)
-    return out
+    return [simhash(hashes) for hashes in hashed_texts([t.encode().lower() for t in all_texts])]
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -193,7 +185,7 @@ def edits(docs: DataFrame) -> DataFrame:
     come after all others; rows that repeat an id follow each other by fingerprint and text. Other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(1, min(MOST_BUCKETS, docs.count() // BUCKET_ROWS))
     cuts = docs.select(F.bitwise_not("doc_id").cast("double").alias("x")).filter("x is not null").approxQuantile("x", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = np.array(sorted({int(c) for c in cuts}), np.int64)

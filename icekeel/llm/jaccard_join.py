@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import U64, chunks, drop, hash_words, materialize, mix64, shingle_hashes, sliced, small_side, trim
+from icekeel.llm._common import U64, batched, drop, hashed_texts, materialize, mix64, shingle_hashes, sliced, small_side, trim, word_hashes
 from icekeel.llm.components import connected_components
 
 #: Ratio of a size band's ends, and low bits of a key that name the band.
@@ -123,18 +123,13 @@ def parity_sketch(hashes: np.ndarray, words: int) -> np.ndarray:
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of one text."""
-    return np.unique(shingle_hashes(hash_words((text or "").encode().lower().split()), k))
+    return np.unique(shingle_hashes(word_hashes((text or "").encode().lower())[0], k))
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, set) for each row, hashing the words of many rows at once."""
-    raw = [(t or "").encode().lower() for t in batch.column("text").to_pylist()]
-    for a, b in chunks(raw):
-        words = [t.split() for t in raw[a:b]]
-        hashes, at = hash_words([w for ws in words for w in ws]), 0
-        for i, ws in enumerate(words):
-            yield a + i, np.unique(shingle_hashes(hashes[at : at + len(ws)], k))
-            at += len(ws)
+    for i, hashes in enumerate(hashed_texts([(t or "").encode().lower() for t in batch.column("text").to_pylist()])):
+        yield i, np.unique(shingle_hashes(hashes, k))
 
 
 def _hot_keys(run_keys: int, hot: int):
@@ -379,7 +374,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
     component_id and link nothing. Rows that repeat an id come back as often; if their texts differ the id links all of them.
     Other columns of docs are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     wide = docs.mapInArrow(_features(k, pct), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketches binary")
     wide = materialize(wide.withColumn("rid", F.monotonically_increasing_id()))
 

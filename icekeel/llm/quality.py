@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import materialize, sliced
+from icekeel.llm._common import batched, materialize, sliced
 
 #: Labelled rows that a fit takes at most: the first by hash of doc_id.
 FIT_ROWS = 200_000
@@ -56,7 +56,7 @@ def features(docs: DataFrame) -> DataFrame:
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(_matrix(batch.column(1))), pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return batched(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import sliced, texts
+from icekeel.llm._common import batched, sliced, texts
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -251,7 +251,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             base = [hashlib.sha256(_named([x for x in s if x[2] != "markov"]).encode()).hexdigest() for s in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(base, pa.string()), pa.array(map(_named, found), pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
+    return batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string")
 
 
 def redacted(text: str, mark: str = "[SECRET]") -> str:
@@ -278,4 +278,4 @@ def redact(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([k if t == u else len(u) for k, t, u in zip(kept, old, new, strict=True)], batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)

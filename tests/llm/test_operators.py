@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 
 from icekeel.llm import bpe, decontamination, fingerprints, jaccard_join, quality, secret_scan, token_files
+from icekeel.llm._common import hash_words, hashed_texts, word_hashes
 from icekeel.llm.components import connected_components
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -124,6 +125,25 @@ def test_jaccard_nulls_repeats_and_empty(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).collect() == []
 
 
+def test_words_are_hashed_by_their_bytes():
+    r = random.Random(14)
+    words = sorted({"".join(r.choices("abcé\x00\x85漢", k=r.randint(1, 9))) for _ in range(3000)} | {"x" * n for n in (1, 2, 63, 64, 65, 200, 1000)})
+    whole = hash_words(words)
+    assert len(set(whole.tolist())) == len(words) and whole.dtype == np.uint64
+    of = dict(zip(words, whole.tolist(), strict=True))
+    for segment in (64, 100, 1 << 18):
+        for _ in range(30):
+            chosen = r.choices(words, k=r.randint(0, 60))
+            raw = "".join(r.choice([" ", "\n", "\t\r", "\x0b\x0c "]) * r.randint(0 if k == 0 else 1, 3) + w for k, w in enumerate(chosen)).encode() + b" " * r.randint(0, 2)
+            hashes, starts = word_hashes(raw, segment)
+            assert [raw[a:].split()[0].decode() for a in starts] == chosen == [w.decode() for w in raw.split()]
+            assert hashes.tolist() == [of[w] for w in chosen]
+    texts = [b"", b" a b", b"b", b"\n", b"a" * 3000 + b" b"]
+    assert [h.tolist() for h in hashed_texts(texts)] == [[of.get(w.decode()) or int(hash_words([w])[0]) for w in t.split()] for t in texts]
+    with pytest.raises(ValueError):
+        hash_words(["a b"])
+
+
 def test_components(spark):
     edges = [(9, 3), (3, 4), (10, 11), (11, 12), (12, 13), (13, 14), (7, 7), (20, 21), (21, 22), (22, 20), (9, 3)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
