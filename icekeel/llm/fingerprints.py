@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import batched, chunks, hashed_texts, materialize, mix64, sliced, small_side, texts
+from icekeel.llm._common import batched, chunks, hashed_texts, materialize, mix64, sliced, texts
 
 #: Bits of a fingerprint, and weight of a word pair against a word.
 BITS, PAIR = 128, 2.0
@@ -91,6 +91,7 @@ def neighbours(prints: DataFrame, queries: DataFrame, radius: int, blocks: int |
     for each block has it in front as its key. A pair counts in the first table where it meets, so that
     counts are summed where pairs are found and no pair is moved. Equal fingerprints count as one row with
     their number; the tables' rows are salted, so that a key of many fingerprints is spread over tasks. Null fingerprints are ignored.
+    The tables always meet in a shuffle: Spark's estimates don't know by how much the blocks and salts multiply queries, which it would broadcast.
     """
     blocks = blocks or radius + 1
     if blocks <= radius or BITS // 4 % blocks:
@@ -109,7 +110,7 @@ def neighbours(prints: DataFrame, queries: DataFrame, radius: int, blocks: int |
     asked = tabled(queries.filter("fingerprint is not null").select("fingerprint").distinct(), "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     distance = sum((F.bit_count(F.col("words_q")[k].bitwiseXOR(F.col("words_b")[k])) for k in range(len(words))), F.lit(0))
     earlier = F.exists(F.sequence(F.lit(0), F.col("t")), lambda j: (j < F.col("t")) & (F.get("parts_q", j) == F.get("parts_b", j)))
-    met = asked.join(base, ["t", "key", "salt"]).filter((distance <= radius) & ~earlier)
+    met = asked.hint("merge").join(base.hint("merge"), ["t", "key", "salt"]).filter((distance <= radius) & ~earlier)
     return met.groupBy(F.col("f_q").alias("fingerprint")).agg(F.sum("n").alias("n_within"))
 
 
@@ -207,6 +208,9 @@ def edits(docs: DataFrame) -> DataFrame:
 def edits_and_neighbours(docs: DataFrame, radius: int = 3, every: int = 20) -> DataFrame:
     """edits() with n_within: how many other rows have a fingerprint within radius bits, for ids divisible by every (else null)."""
     rows = materialize(edits(docs))
-    found = materialize(neighbours(rows.select("fingerprint"), rows.filter(F.col("doc_id") % every == 0).select("fingerprint"), radius))
-    out = rows.join(small_side(found), "fingerprint", "left")
-    return out.select(*rows.columns, F.when(F.col("doc_id") % every == 0, F.col("n_within") - 1).alias("n_within"))
+    is_asked = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    asked, rest = rows.filter(is_asked), rows.filter(~is_asked)
+    found = materialize(neighbours(rows.select("fingerprint"), asked.select("fingerprint"), radius))
+    # Counts grow with the table, and so are never broadcast; only the rows that asked cross a shuffle.
+    counted = asked.join(found.hint("merge"), "fingerprint", "left").select(*rows.columns, (F.col("n_within") - 1).alias("n_within"))
+    return counted.unionByName(rest.withColumn("n_within", F.lit(None).cast("long")))

@@ -455,6 +455,15 @@ def test_edits_and_neighbours(spark):
         assert x.n_within == (None if i % 5 else sum(j != i and (p ^ prints[i]).bit_count() <= 15 for j, p in prints.items()))
 
 
+def test_neighbours_broadcast_nothing(spark):
+    """The driver would hold each query once for every block and salt, which Spark's estimates leave out."""
+    texts = [f"{k % 30} " + " ".join(f"w{j}" for j in range(k % 7)) for k in range(60)]
+    rows = fingerprints.materialize(fingerprints.fingerprints(frame(spark, texts)))
+    for df in (fingerprints.neighbours(rows, rows.filter("doc_id % 20 = 0"), 3), fingerprints.edits_and_neighbours(frame(spark, texts))):
+        plan = df._jdf.queryExecution().executedPlan()
+        assert df.count() and "Broadcast" not in plan.toString() and "SortMergeJoin" in plan.toString()
+
+
 def test_blocks_round_trip_and_damage():
     r = np.random.default_rng(0)
     for n in (0, 1, 2, 300, 1000, 30000):
