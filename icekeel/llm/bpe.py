@@ -35,6 +35,8 @@ UNIT_BYTES, ROW_WORDS, BATCH_IDS = 16 << 20, 1 << 18, 1 << 18
 SPLIT_BYTES = 2 << 20
 #: Bytes of text for each bucket of words: what one task reads doesn't grow with all of them.
 BUCKET_BYTES = 128 << 20
+#: Words whose ids a Python worker keeps for later units, at most.
+KNOWN_WORDS = 500_000
 #: All that some library takes for white space or might drop; cuts are only made away from these.
 OTHERS = r"\x00-\x09\x0b-\x1f\x7f-\xa0\xad\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
 SPACES = f" \n{OTHERS}"
@@ -292,16 +294,48 @@ def _enders(path: str) -> np.ndarray | None:
     return out
 
 
+@lru_cache(4)
+def _lowers(path: str) -> bool:
+    """Whether the tokenizer first lower-cases words of plain letters and changes nothing else about them: then case tells no words apart."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec["normalizer"] or {}).get("normalizers", [spec["normalizer"] or {}])
+    kinds = {s.get("type") for s in steps if (s.get("type"), s.get("pattern")) != ("Replace", {"Regex": r"\s+"})}
+    plain = pc.match_substring_regex(pa.array([t["content"] for t in spec["added_tokens"]], pa.string()), f"^[{LETTERS}]+$")
+    return "Lowercase" in kinds and kinds <= {"Lowercase", "NFC"} and not pc.any(plain).as_py()
+
+
+class _Known:
+    """The ids of plain words that this process has encoded, KNOWN_WORDS at most: workers live on, and units share most words."""
+
+    def __init__(self):
+        self.words, self.ids, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = max(0, min(len(words), KNOWN_WORDS - len(self.words)))
+        if n:
+            self.words = pa.concat_arrays([self.words, words[:n]])
+            self.ids, self.sizes = np.concatenate([self.ids, ids[: int(sizes[:n].sum())]]), np.concatenate([self.sizes, sizes[:n]])
+
+
+@lru_cache(4)
+def _known(path: str) -> _Known:
+    return _Known()
+
+
 def _ids_of(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, starts, lengths): the ids of every word, each encoded once.
 
     Where the vocabulary marks the ends of words, words of plain letters are encoded many at a time,
-    parted by blanks, and told apart by those marks.
+    parted by blanks, and told apart by those marks; those encoded before are looked up, and case is dropped where the tokenizer drops it.
     """
-    ender, library = _enders(path), tokenizer(path)
+    ender, library, known = _enders(path), tokenizer(path), _known(path)
     plain = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False) if ender is not None else np.zeros(len(words), bool)
-    order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-    words, n = words.take(pa.array(order)), int(plain.sum())
+    own, others = words.filter(pa.array(plain)), words.filter(pa.array(~plain))
+    own = (pc.utf8_lower(own) if len(own) and _lowers(path) else own).dictionary_encode()
+    place = pc.index_in(own.dictionary, value_set=known.words)
+    new, place = own.dictionary.filter(place.is_null()), pc.fill_null(place, -1).to_numpy().astype(np.int64)
+    place[place < 0] = len(known.words) + np.arange(len(new))
     ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
 
     def singly(part: pa.Array) -> None:
@@ -309,8 +343,8 @@ def _ids_of(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndar
         sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
         ids.append(np.fromiter(chain.from_iterable(found), np.int32))
 
-    for at in range(0, n, 1 << 14):
-        part = words[at : min(n, at + (1 << 14))]
+    for at in range(0, len(new), 1 << 14):
+        part = new[at : at + (1 << 14)]
         listed = part.to_pylist()
         joined = [" ".join(listed[k : k + 256]) for k in range(0, len(listed), 256)]
         for k, e in enumerate(library.encode_batch_fast(joined, add_special_tokens=False)):
@@ -321,12 +355,15 @@ def _ids_of(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndar
                 sizes.append(np.diff(ends, prepend=0))
             else:
                 singly(part[256 * k : 256 * k + size])
-    for at in range(n, len(words), 4096):
-        singly(words[at : at + 4096])
+    fresh = np.concatenate(ids), np.concatenate(sizes)
+    ids, sizes = [known.ids, fresh[0]], [known.sizes, fresh[1]]
+    rows = np.empty(len(words), np.int64)
+    rows[plain], rows[~plain] = place[own.indices.to_numpy()], len(known.words) + len(new) + np.arange(len(others))
+    known.add(new, *fresh)
+    for at in range(0, len(others), 4096):
+        singly(others[at : at + 4096])
     sizes = np.concatenate(sizes)
-    starts, lengths = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-    starts[order], lengths[order] = np.cumsum(sizes) - sizes, sizes
-    return np.concatenate(ids), starts, lengths
+    return np.concatenate(ids), (np.cumsum(sizes) - sizes)[rows], sizes[rows]
 
 
 def encode_by_unit(docs: DataFrame, path: str, blanks: bool = True, tails: str = "", then=None, schema: str = "doc_id long, ids array<int>") -> DataFrame:
@@ -338,11 +375,12 @@ def encode_by_unit(docs: DataFrame, path: str, blanks: bool = True, tails: str =
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in units(batches, 2 * UNIT_BYTES):
             order, words, numbers, sizes = numbered(_chunk(t.column(1)), blanks)
+            doc_ids, t = _chunk(t.column(0)).take(pa.array(order)), None
             rows = np.concatenate([[0], np.cumsum(sizes)])
             if tails:
                 words, numbers, rows = _parted(words, numbers, rows, tails)
-            yield from _gathered(_chunk(t.column(0)).take(pa.array(order)), rows, numbers, *_ids_of(words, path))
-            t = words = numbers = None
+            yield from _gathered(doc_ids, rows, numbers, *_ids_of(words, path))
+            words = numbers = None
             trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
@@ -87,3 +88,36 @@ def test_empty_table_and_null_ids(spark):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), BYTE).collect() == []
     docs = spark.createDataFrame([(None, "one two"), (None, "one two")], "doc_id long, text string")
     assert [r.ids for r in bpe.encode(docs, BYTE).collect()] == library(BYTE, ["one two"] * 2)
+
+
+@pytest.mark.parametrize("most", [1000, 5, 0])
+def test_later_units_encode_new_words_alone(monkeypatch, most):
+    sent, real = [], bpe.tokenizer(WORD)
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(w for t in texts for w in t.split())
+            return real.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(bpe, "tokenizer", lambda path: Library())
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", most)
+    bpe._known.cache_clear()
+    r = random.Random(3)
+    units = [["Straße", "straße", "STRASSE", "ÀÉÿ", "àéÿ", "don't", "a1", "ªº", "漢"], ["STRAßE", "àÉÿ", "new", "12", "a1"], [], ["".join(r.choices("abÄéZ", k=4)) for _ in range(700)], ["a1", "<|endoftext|>"]]
+    for unit in units:
+        words = list(dict.fromkeys(unit))
+        ids, starts, lengths = bpe._ids_of(pa.array(words, pa.large_string()), WORD)
+        assert [ids[a : a + n].tolist() for a, n in zip(starts, lengths, strict=True)] == [real.encode(w, add_special_tokens=False).ids for w in words]
+    bpe._known.cache_clear()
+    again = sum(sent.count(w) for w in ("straße", "àéÿ"))
+    assert again == (2 if most else 4) and not {"Straße", "STRAßE", "ÀÉÿ"} & set(sent)
+
+
+def test_case_is_only_dropped_by_tokenizers_that_do(tmp_path):
+    assert bpe._lowers(WORD) and not bpe._lowers(BYTE)
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    for k, change in enumerate(({"normalizer": None}, {"normalizer": {"type": "NFC"}}, {"added_tokens": [{"id": 0, "content": "Word"}]})):
+        at = tmp_path / f"{k}.json"
+        at.write_text(json.dumps(spec | change))
+        assert not bpe._lowers(str(at))
