@@ -7,11 +7,13 @@ An empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from icekeel.llm import bpe, decontamination, jaccard_join, quality, secret_scan
-from icekeel.llm._common import materialize, table
+from icekeel.llm._common import materialize, release, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,18 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, path, then=bpe.with_text(path), schema="doc_id long, ids array<int>, text string", unit_bytes=8 << 20)
 
 
-STAGES = [("quality", good), ("near_duplicates", single), ("decontamination", clean), ("secrets", safe), ("bpe", encoded)]
+def _released(stage):
+    """stage, before which executors give back the heap that the stages before it have grown: what a stage takes doesn't depend on them."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(name, _released(stage)) for name, stage in [("quality", good), ("near_duplicates", single), ("decontamination", clean), ("secrets", safe), ("bpe", encoded)]]
 
 #: SQL can express neither the classifier nor the join of components.
 ORACLE_SQL = None

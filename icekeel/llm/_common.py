@@ -92,6 +92,12 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """The JVM of each executor collects its garbage, so that heap that past steps have grown goes back to the system: executors live on."""
+    executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is one more
+    spark.range(0, executors, 1, executors).selectExpr("java_method('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches in slices, so that few rows at a time are Python objects; memory goes back to the system between them."""
     for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from icekeel.llm._common import U64, batched, drop, hashed_texts, materialize, mix64, shingle_hashes, sliced, small_side, trim, word_hashes
+from icekeel.llm._common import U64, batched, drop, hashed_texts, materialize, mix64, release, shingle_hashes, sliced, small_side, trim, word_hashes
 from icekeel.llm.components import connected_components
 
 #: Ratio of a size band's ends, and low bits of a key that name the band.
@@ -377,6 +377,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
     docs = batched(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     wide = docs.mapInArrow(_features(k, pct), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sketches binary")
     wide = materialize(wide.withColumn("rid", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
 
     # Equal sets are one node, named by the smallest of their rows.
     rows = wide.select("rid", "doc_id", "n_shingles", "f1", "f2")
@@ -399,6 +400,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
         least = materialize(own.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot"))
         shared = shared.union(own.join(small_side(least), "key").select(band, "pivot", "node"))
     clusters = materialize(shared.distinct())
+    release(docs.sparkSession)
 
     words = Bands(pct)
     width = F.element_at(F.array(*(F.lit(words.words(b)) for b in range(1 << BAND_BITS))), F.col("band") + 1)
@@ -410,6 +412,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, pct: int = 80, id_col: str =
     met = small.join(known, "node").repartition("band", "pivot").sortWithinPartitions("band", "pivot")
     met = materialize(met.mapInArrow(_meeting(pct), "band int, pivot long, node long"))
     drop(wide)
+    release(docs.sparkSession)
     whole = _with_sets(met, docs, narrow, k).repartition("band", "pivot").sortWithinPartitions("band", "pivot")
     links = materialize(whole.mapInArrow(_linking(pct), "a long, b long").distinct())
     if beyond.take(1):
@@ -435,4 +438,5 @@ def keep_one(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     Rows with a null id or an empty text stay. Rows that repeat an id stay or go together.
     """
     gone = materialize(jaccard_components(docs, k, pct).filter("component_id <> doc_id").select("doc_id").distinct())
+    release(docs.sparkSession)
     return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from icekeel.llm import bpe, decontamination, quality, secret_scan
+from icekeel.llm import bpe, decontamination, jaccard_join, quality, secret_scan
 from icekeel.llm import queries as registered
 
 WORDS = [f"w{chr(97 + k % 26)}{k}" for k in range(500)]
@@ -91,6 +91,21 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert docs.columns == [c.split()[0] for c in COLUMNS.split(", ")]
 
 
+def test_stages_start_on_a_collected_heap(spark, sf_dir, monkeypatch):
+    def full_collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begun = []
+    for module, function in ((quality, "keep_good"), (jaccard_join, "keep_one"), (decontamination, "keep_clean"), (secret_scan, "redact"), (bpe, "encode")):
+        monkeypatch.setattr(module, function, lambda *a, **b: begun.append(full_collections()))
+    for name, stage in corpus_pipeline.STAGES:
+        before = full_collections()
+        stage(spark, docs, sf_dir)
+        assert begun.pop() > before, name
+
+
 @pytest.mark.parametrize("name", sorted(registered.queries()))
 def test_queries_return_a_row_for_each_row(spark, sf_dir, name):
     rows = registered.queries()[name](spark, sf_dir).collect()
